@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch sent back by :func:`map_rows` holds at most, and the bytes of text read before it is sent.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows that one Arrow batch sent back by :func:`map_rows` holds at most, the bytes of text read before it is sent, and the rows taken from Arrow at once.
+BATCH_ROWS, BATCH_BYTES, READ_ROWS = 2000, 8 << 20, 256
 #: Words that a worker's hash table remembers at most; beyond it the older half is forgotten.
 MEMO_WORDS = 400_000
 #: Row limit under which a table of ids may be broadcast (16 bytes a row); beyond it the join shuffles.
@@ -95,11 +95,11 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, *, chunks: bool = False) -> DataFrame:
     """Maps each row to zero or more rows in Python.
 
-    ``make()`` is called once per task and gives ``rows(row: dict) -> iterable of tuples`` in the order of ``schema``.
-    Batches sent back are bounded by rows and by bytes of what was read.
+    ``make()`` is called once per task and gives ``rows(row: dict) -> iterable of tuples`` in the order of ``schema``; with
+    ``chunks`` it gets a list of rows instead. Batches sent back are bounded by rows and by bytes of what was read.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -115,12 +115,11 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFr
 
         for batch in batches:
             names = batch.schema.names
-            step = 256
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                for values in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    row = dict(zip(names, values, strict=True))
-                    seen += sum(len(v) for v in values if isinstance(v, (str, bytes)))
+            for at in range(0, batch.num_rows, READ_ROWS):
+                part = batch.slice(at, READ_ROWS)
+                read = [dict(zip(names, values, strict=True)) for values in zip(*(c.to_pylist() for c in part.columns), strict=True)]
+                for row in [read] if chunks else read:
+                    seen += part.nbytes if chunks else sum(len(v) for v in row.values() if isinstance(v, (str, bytes)))
                     out.extend(rows(row))
                     if len(out) >= BATCH_ROWS or seen >= BATCH_BYTES:
                         yield flush()
