@@ -90,6 +90,21 @@ class Roller:
             return mix((sums[size:] - sums[:-size]) * self.down[: n - size + 1])
 
 
+class Shared:
+    """A read-only object for the workers, as a broadcast that carries its classes along."""
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        self.sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        import pickle
+
+        return pickle.loads(self.sent.value)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's longs."""
     return x.view(np.int64)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, map_rows, mix
+from .common import BASE_1, Shared, map_rows, mix
 
 ORDER, PER_LANGUAGE, CALIBRATION_SHARE = 5, 2000, 5
 #: Rejection: this quantile of the calibration texts' cross-entropy, times a margin.
@@ -267,7 +267,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     be null or repeat; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_language
+    sent = Shared(docs.sparkSession, model)  # bounded by per_language
 
     def make():
         model = sent.value

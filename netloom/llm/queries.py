@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langid, near_dup, substrings
+from . import forest, langid, near_dup, substrings, toxicity
 from .common import read
 from .packing import pack
 
@@ -38,13 +38,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from labels that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
+    found = toxicity.score(docs, toxicity.learn(docs.where(~toxicity.held_out()), labels))
+    return found.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op5_language_id, op8_quality_rules, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op5_language_id, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
