@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langid, lines, near_dup, substrings, toxicity
+from . import forest, langid, lines, near_dup, substrings, tiling, toxicity
 from .common import read
 from .packing import pack
 
@@ -32,6 +32,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold most of a benchmark item, in whatever order."""
+    return tiling.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that nearly repeat an earlier one."""
     kept = lines.drop_fuzzy_lines(read(spark, sf_dir, "documents"))
@@ -58,7 +63,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op5_language_id, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op5_language_id, op6_benchmark_decontamination, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
