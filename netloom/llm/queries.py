@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, langid, lines, near_dup, substrings, tiling, toxicity
+from . import forest, html, langid, lines, near_dup, substrings, tiling, toxicity, wordpiece
 from .common import read
 from .packing import pack
 
@@ -24,6 +24,19 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of greedy word pieces of every document, over a public vocabulary."""
+    import public_tokenizers
+
+    begin, follow = wordpiece.sentencepiece_vocabulary(public_tokenizers.path(wordpiece.VOCABULARY))
+    return wordpiece.token_counts(read(spark, sf_dir, "documents"), begin, follow)
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.main_text(read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learned from those that are not held out."""
     docs = read(spark, sf_dir, "documents")
@@ -63,7 +76,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op5_language_id, op6_benchmark_decontamination, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op4_html_extraction, op5_language_id, op6_benchmark_decontamination, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
