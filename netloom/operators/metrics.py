@@ -117,3 +117,12 @@ def best_split_check(nz: DataFrame, m: int, n: int, p: int) -> DataFrame:
 def mean_variance(runs: DataFrame, *columns: str) -> DataFrame:
     """Mean and population variance of each column, over all rows."""
     return runs.agg(*[x for c in columns for x in (F.avg(c).alias(f"{c}_avg"), F.var_pop(c).alias(f"{c}_var"))])
+
+
+def balance(weights: DataFrame, p: int) -> DataFrame:
+    """``part, weight, procs``: processors in proportion to weight, at least one each, spare ones to the largest shortfalls."""
+    every = Window.partitionBy()  # a row per part
+    d = weights.withColumn("share", F.col("weight") * float(p) / F.sum("weight").over(every))
+    d = d.withColumn("base", F.greatest(F.lit(1), F.floor("share")).cast("long"))
+    d = d.withColumns({"k": F.row_number().over(Window.orderBy(F.col("base") - F.col("share"), "part")), "spare": p - F.sum("base").over(every)})
+    return d.select("part", "weight", (F.col("base") + F.when(F.col("k") <= F.col("spare"), 1).otherwise(0)).alias("procs"))
