@@ -37,6 +37,8 @@ def parts_for(weights: list[int], p: int, finished: set[int] = frozenset()) -> l
     spare = left - sum(out[k] for k in open_)
     for k in sorted(open_, key=lambda k: (out[k] - share[k], k))[: max(spare, 0)]:
         out[k] += 1
+    for _ in range(-spare):  # what the minimum of one has used too much comes from those with most beyond their share
+        out[max((k for k in open_ if out[k] > 1), key=lambda k: (out[k] - share[k], -k))] -= 1
     return out
 
 
