@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import components, hypergraph, matrix, metrics, ordinal, vectors
+from ..operators import components, hypergraph, matrix, metrics, ordinal, reorder, vectors
+from ..sources import matrix_market
 
 P = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -564,3 +565,55 @@ def intersection_uv(spark, d):
 )
 def connected_components(spark, d):
     return components.matrix_components(sq(spark, d))
+
+
+# Whole recursive orders and outputs
+
+RANGE = (
+    f"WITH {SQ}, l AS (SELECT j AS idx, MIN(i * 8 // 300) AS a, MAX(i * 8 // 300) AS b FROM sq GROUP BY j), "
+    "k AS (SELECT idx, CASE WHEN b < 4 THEN '0' || CASE WHEN b < 2 THEN '0' || CASE WHEN b < 1 THEN '0' WHEN a >= 1 THEN '2' ELSE '1' END WHEN a >= 2 THEN '2' || CASE WHEN b < 3 THEN '0' WHEN a >= 3 THEN '2' ELSE '1' END ELSE '1' END "
+    "WHEN a >= 4 THEN '2' || CASE WHEN b < 6 THEN '0' || CASE WHEN b < 5 THEN '0' WHEN a >= 5 THEN '2' ELSE '1' END WHEN a >= 6 THEN '2' || CASE WHEN b < 7 THEN '0' WHEN a >= 7 THEN '2' ELSE '1' END ELSE '1' END ELSE '1' END AS key FROM l), "
+    "o AS (SELECT ROW_NUMBER() OVER (ORDER BY key, idx) - 1 AS pos, idx, key FROM k) "
+)
+
+
+def row_blocks(spark, d):
+    return sq(spark, d).withColumn("part", F.floor(F.col("i") * P / 300).cast("int"))
+
+
+@query(RANGE + "SELECT * FROM o")
+def recursive_sbd_order(spark, d):
+    return reorder.recursive_order(row_blocks(spark, d), "col", P, "infix")
+
+
+@query(RANGE + ", b AS (SELECT key, MIN(pos) AS start, COUNT(*) AS size FROM o GROUP BY key) SELECT ROW_NUMBER() OVER (ORDER BY start) - 1 AS ord, start, size, key, left(key, length(key) - 1) AS parent FROM b")
+def block_hierarchy(spark, d):
+    return reorder.blocks(reorder.recursive_order(row_blocks(spark, d), "col", P, "infix"))
+
+
+@query(f"WITH {SQ} SELECT (i + 1) || ' ' || (j + 1) || ' ' || CAST(re AS BIGINT) AS line FROM sq")
+def entry_lines(spark, d):
+    return matrix_market.entry_lines(sq(spark, d), matrix_market.MatrixMeta(field="I")).select("line")
+
+
+@query(f"WITH {OWN} SELECT idx AS pos, (idx + 1) || ' ' || (part + 1) AS line FROM own UNION ALL SELECT -1, (SELECT COUNT(*) FROM supplier) || ' 8'")
+def vector_lines(spark, d):
+    return matrix_market.vector_lines(owner(spark, d), count_table(spark, d, "supplier"), P)
+
+
+@query("SELECT DISTINCT s_suppkey AS pos, CAST(s_suppkey % 8 AS VARCHAR) AS line FROM supplier")
+def dimacs_owners(spark, d):
+    return owner(spark, d).select(F.col("idx").alias("pos"), F.col("part").cast("string").alias("line"))
+
+
+@query(f"""WITH {SQ} SELECT '<rect x="' || (j * 10) || '" y="' || (i * 10) || '" width="10" height="10" fill="' || CASE (i * 4 // 300) WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'green' ELSE 'orange' END || '"/>' AS line FROM sq""")
+def svg_rectangles(spark, d):
+    return matrix_market.svg(sq(spark, d).withColumn("part", F.floor(F.col("i") * 4 / 300).cast("int")), 300, 300)
+
+
+@query(
+    f"WITH {DNZ}, k AS (SELECT CAST(FLOOR(i * 64 / (SELECT COUNT(*) FROM part)) AS BIGINT) AS y, CAST(FLOOR(j * 64 / (SELECT COUNT(*) FROM supplier)) AS BIGINT) AS x, part, COUNT(*) AS n FROM dnz GROUP BY 1, 2, 3) "
+    "SELECT y, x, part FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY y, x ORDER BY n DESC, part) AS r FROM k) WHERE r = 1"
+)
+def raster_image(spark, d):
+    return matrix_market.raster(dnz(spark, d), count_table(spark, d, "part"), count_table(spark, d, "supplier"), 64)
