@@ -5,7 +5,10 @@ so groups of copies cost one row. Two small collections of ``bands`` half-keys (
 a table key is a pair of half-keys, one of each collection, so ``bands ** 2`` tables need only ``2 * bands * rows``
 minhashes. Within a table's bucket no pairs are listed: the member that meets most others is the hub, and all members
 compare with it. Confirmed links give components; whatever in a bucket is still apart from others is then compared across
-components, so each bucket's links are all found. Every link is confirmed on the full sets.
+components, so each bucket's links are all found. That comparison first bounds the intersection by the shingles of either
+text that any other text there has at all, exactly, and looks at sketches of ``BITS`` one-bit minhashes, both inside the
+join: pairs that can't be links make no row. Copies that are too far from the hub for a link mostly are so by shingles of
+their own, which rules them out against all other copies as well. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,6 +22,9 @@ from .common import BASE_1, Roller, components, cut, hashed, if_small, map_rows,
 SHINGLE, SIMILARITY = 5, 75
 #: A pair of similarity s is met in some table with 1 - (1 - (1 - (1 - s**ROWS)**BANDS)**2): 0.9999 at 0.75.
 BANDS, ROWS = 12, 2
+#: One-bit minhashes of a sketch, and how many standard deviations of chance a pair at the similarity is allowed: it is
+#: missed with probability 1.3e-5 where only the sketches can find it.
+BITS, SLACK = 768, 4.2
 
 
 class Shingles:
@@ -48,6 +54,18 @@ def minhashes(h: np.ndarray, n: int) -> np.ndarray:
     return least
 
 
+def sketch_bits(h: np.ndarray) -> np.ndarray:
+    """``BITS`` one-bit minhashes of a set, as signed longs."""
+    rng = np.random.default_rng(20240301)
+    mul = rng.integers(0, 1 << 31, (BITS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 1 << 32, (BITS, 1), dtype=np.uint32)
+    least, low = np.full(BITS, np.iinfo(np.uint32).max, np.uint32), (h >> np.uint64(32)).astype(np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(low), 1024):
+            np.minimum(least, ((low[None, at : at + 1024] ^ add) * mul).min(axis=1), out=least)
+    return np.packbits((mix(least.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row.
 
@@ -87,7 +105,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         node = node.join(node.select("node", F.posexplode(side).alias("at", "half")).join(keyed, ["at", "half"], "left_semi").select("node").distinct(), "node", "left_semi")
     node = cut(node)
     pair_key = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
-    tables = node.select("node", "n", F.explode(pair_key).alias("key"))
+    tables = node.select("node", "n", F.posexplode(pair_key).alias("at", "key"))
     bucket = tables.groupBy("key").agg(F.count("*").alias("met")).where("met > 1")
     member = cut(tables.join(bucket, "key"))
     degree = member.groupBy("node").agg(F.sum("met").alias("degree"))
@@ -98,9 +116,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def sets():
         shingles = Shingles()
-        return lambda row: [(row["doc_id"], h.view(np.int64).tolist())] if len(h := shingles(row["text"])) else []
+        return lambda row: [(row["doc_id"], h.view(np.int64).tolist(), sketch_bits(h).tolist())] if len(h := shingles(row["text"])) else []
 
-    full_set = cut(map_rows(docs.join(inside, "doc_id", "left_semi"), sets, f"node {kind}, items array<bigint>").groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
+    full_set = map_rows(docs.join(inside, "doc_id", "left_semi"), sets, f"node {kind}, items array<bigint>, bits array<bigint>")
+    full_set = cut(full_set.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.first("bits").alias("bits")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct candidate pairs (x, y), those that are links."""
@@ -114,11 +133,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = cut(confirmed(star.select("x", "y")))
     group = components(links)
     # What is still apart in one bucket: compared across components, each pair once.
-    apart = member.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "node", "n", "component")
-    mixed = apart.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("key")
+    apart = member.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "at", "node", "n", "component")
+    mixed = apart.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("met")).where("c1 <> c2 AND met > 2").select("key")  # of two, one is the hub
     apart = cut(apart.join(mixed, "key", "left_semi"))
-    other = apart.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-    cross = apart.join(other, "key").where("component < component2").where(fits).select(F.col("node").alias("x"), F.col("node2").alias("y")).distinct()
+    items = full_set.join(apart.select("node").distinct(), "node", "left_semi").select("node", F.explode("items").alias("item"))
+    own = items.groupBy("item").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1").groupBy("node").agg(F.count("*").alias("own"))
+    facts = full_set.select("node", "bits").join(own, "node", "left").select("node", "bits", F.coalesce("own", F.lit(0)).alias("own"))
+    apart = apart.join(facts, "node").withColumn("rest", F.col("n") - F.col("own")).where(100 * F.col("rest") >= similarity * F.col("n"))
+    apart = cut(apart.drop("own").join(node.select("node", "a", "b"), "node"))
+    other = apart.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("component2"), F.col("bits").alias("bits2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    # A pair that meets in many tables counts in the first of them.
+    first = [F.least(*[F.when(F.col(s)[k] == F.col(f"{s}2")[k], k) for k in range(bands)]) if bands > 1 else F.lit(0) for s in "ab"]
+    same_bit = (1 + similarity / 100) / 2
+    differ = int(BITS * (1 - same_bit) + SLACK * (BITS * same_bit * (1 - same_bit)) ** 0.5)
+    alike = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(BITS // 64)), F.lit(0)) <= differ
+    most = F.least("rest", "rest2")
+    possible = 100 * most >= similarity * (F.col("n") + F.col("n2") - most)
+    cross = apart.join(other, "key").where("component < component2").where(fits).where(possible).where(alike).where(first[0] * bands + first[1] == F.col("at")).select(F.col("node").alias("x"), F.col("node2").alias("y")).distinct()
     tried = star.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
     cross = cross.withColumns({"lo": F.least("x", "y"), "hi": F.greatest("x", "y")}).join(tried, ["lo", "hi"], "left_anti").select("x", "y")
     links = links.union(confirmed(cross))
