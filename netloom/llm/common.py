@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -146,11 +147,19 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, *, chunks
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset.
+
+    What the checkpoint no longer needs (shuffles, earlier checkpoints) is freed at once: Spark frees it when the driver
+    collects its garbage, which a driver with little to do does too seldom.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="netloom-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
