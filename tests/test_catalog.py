@@ -1,4 +1,4 @@
-"""Every query with SQL against DuckDB on the smallest tables."""
+"""Every query with SQL against DuckDB on small tables."""
 
 import os
 
@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 from netloom.plans import catalog
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
