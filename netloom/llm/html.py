@@ -123,7 +123,7 @@ class Page:
         if not inside and (scores := self.scores()):
             path = max(sorted(scores), key=scores.get)
             inside = [t for p, t, _ in self.blocks if p == path or p.startswith(path + ">")]
-        return "\n".join(inside)
+        return "\n".join(inside or [t for _, t, _ in self.blocks])  # a fragment without any container
 
 
 def host_of(url):

@@ -59,14 +59,14 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
             size = longest
             continue
         for n, i, j in sorted(found):
-            # what an earlier tile took shortens a match; what is left of it is found again at a smaller length
-            if free_a[i : i - n].all() and free_b[j : j - n].all():
+            # Only the longest are marked: what they take from others shows in the next search of the same length.
+            if -n == longest and free_a[i : i - n].all() and free_b[j : j - n].all():
                 free_a[i : i - n] = free_b[j : j - n] = False
                 tiles.append((i, j, -n))
-        if size == least:
-            return tiles
-        # Matches left over after marking are shorter; without any match the length can fall faster.
-        size = max(least, size - 1 if found else size // 2)
+        if not found:
+            if size == least:
+                return tiles
+            size = max(least, size // 2)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = SEED, coverage: float = COVERAGE) -> DataFrame:
