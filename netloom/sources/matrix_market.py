@@ -7,6 +7,8 @@ Lines are numbered by partition counts and offsets, so a large file is read in p
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -123,11 +125,11 @@ def read(spark: SparkSession, path: str) -> Matrix:
     value = {"P": [], "I": ["re"], "R": ["re"], "C": ["re", "im"]}[meta.field]
     body = lines.where((F.col("line") >= at) & (F.col("line") < at + meta.nnz)).withColumn("x", token)
     nz = body.select(
-        (F.col("line") - at).alias("t"), (F.col("x")[0].cast("long") - 1).alias("i"), (F.col("x")[1].cast("long") - 1).alias("j"), *[F.col("x")[2 + k].cast("double").alias(c) for k, c in enumerate(value)]
+        (F.col("line") - at).alias("t"), (F.col("x")[0].try_cast("long") - 1).alias("i"), (F.col("x")[1].try_cast("long") - 1).alias("j"), *[F.col("x")[2 + k].try_cast("double").alias(c) for k, c in enumerate(value)]
     )
     wrong = (F.col("i") < 0) | (F.col("i") >= meta.m) | (F.col("j") < 0) | (F.col("j") >= meta.n)
     wrong |= {"G": F.lit(False), "K": F.col("i") <= F.col("j")}.get(meta.symmetry, F.col("i") < F.col("j"))
-    count, bad = nz.agg(F.count("*"), F.count_if(wrong)).first()
+    count, bad = nz.agg(F.count("*"), F.count_if(F.coalesce(wrong, F.lit(True)) | reduce(or_, [F.col(c).isNull() for c in ("i", "j", *value)]))).first()
     if count != meta.nnz or bad:
         raise ValueError(f"{meta.nnz} entries declared, {count} found, {bad} out of bounds")
     if starts:
