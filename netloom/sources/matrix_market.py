@@ -138,7 +138,7 @@ def read(spark: SparkSession, path: str) -> Matrix:
     at += meta.nnz
     weights = []
     for has, size in ((meta.row_weights, meta.m), (meta.col_weights, meta.n)):
-        weights.append(lines.where((F.col("line") >= at) & (F.col("line") < at + size)).select((F.col("line") - at).alias("idx"), F.trim("value").cast("long").alias("w")) if has else None)
+        weights.append(lines.where((F.col("line") >= at) & (F.col("line") < at + size)).select((F.col("line") - at).alias("idx"), F.trim("value").try_cast("long").alias("w")) if has else None)
         at += size * has
     tail = "\n".join(r["value"] for r in lines.where(F.col("line") >= at).where("trim(value) LIKE '\\%%'").orderBy("line").limit(1000).collect())
     return Matrix(replace(meta, tail=tail), nz, *weights)
