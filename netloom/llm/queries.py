@@ -52,7 +52,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that nearly repeat an earlier one."""
-    kept = lines.drop_fuzzy_lines(read(spark, sf_dir, "documents"))
+    kept = lines.drop_fuzzy_lines(read(spark, sf_dir, "documents"), radius=None)
     return kept.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 

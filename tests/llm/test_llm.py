@@ -189,6 +189,35 @@ def test_lines_equal_brute_force(spark):
     assert [tuple(r) for r in kept] == [(0, "a b", 1, "x"), (1, "", 1, "x")]
 
 
+def test_lines_equal_brute_force_by_edits_alone(spark):
+    rng = random.Random(14)
+    pool = [prose(rng, n) for n in (1, 2, 3, 5, 7, 9, 12, 16, 20)]
+    for x in pool[:]:
+        w, c = x.split(), list(x)
+        w[rng.randrange(len(w))] = "zuzu"
+        for k in range(rng.randrange(12), len(c), 14):
+            c[k] = "x"
+        pool += [" ".join(w), "".join(c)]
+    texts = ["\n".join(rng.choices([*pool, "", "---"], k=rng.randint(1, 8))) for _ in range(16)] + [None, ""]
+    out = lines.drop_fuzzy_lines(table(spark, texts), radius=None).collect()
+    got, want = sorted((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in out), brute_lines(spark, texts, radius=64)
+    assert got == want and want != brute_lines(spark, texts)
+    assert lines.drop_fuzzy_lines(empty(spark), radius=None).count() == 0
+
+
+def test_lines_of_one_simhash_are_compared(spark):
+    a = "tamo rike bulo sena du ki lomi pare vako nude tibo remi sola kade funi gora".split()
+    b = a[::-1]
+    c = b.copy()
+    at = b.index("ki")
+    c[at], c[at + 1] = c[at + 1], c[at]
+    a, b, c = map(" ".join, (a, b, c))
+    texts = [a, a, b, c]
+    for radius in (3, None):
+        out = lines.drop_fuzzy_lines(table(spark, texts), radius=radius).orderBy("doc_id").collect()
+        assert [r["n_removed"] for r in out] == [0, 1, 0, 1] == [r[3] for r in brute_lines(spark, texts)]
+
+
 def test_word_pieces_are_greedy():
     rng = random.Random(5)
     for _ in range(3000):
