@@ -3,8 +3,10 @@
 A text is its stream of lower-cased words of letters, each framed by a mark; contexts don't cross words. Character
 n-grams of the training texts are counted in Spark (partial counts per task, then sums); the model of each language is
 kept in sorted arrays of n-gram hashes with log-probability and back-off weight. A text's language is that of the lowest
-cross-entropy per character. Rejection is calibrated: training texts that were kept out of the counts give, per language
-and length class, the cross-entropy that all but a small share of texts stay under.
+cross-entropy per character. Rejection is calibrated with training texts that were kept out of the counts, and with their
+beginnings for the short length classes. Per language and length class they give the cross-entropy that all but a small
+share of texts stay under; scored without their own language, they show what texts of a language that was not learned cost.
+Where the two are apart the limit lies halfway, else it is the first.
 
 The training rows are a bounded sample: about ``per_language`` texts of each language, those with the smallest hash of
 id and text. This bounds the model on the driver and in the workers. Everything else covers all rows.
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import BASE_1, Shared, map_rows, mix
 
 ORDER, PER_LANGUAGE, CALIBRATION_SHARE = 5, 2000, 5
-#: Rejection: this quantile of the calibration texts' cross-entropy, times a margin.
-QUANTILE, MARGIN = 0.999, 1.6
+#: Rejection: this quantile of the calibration texts' cross-entropy, and the one of texts scored without their language.
+QUANTILE, FOREIGN = 0.999, 0.01
 #: Upper ends of the length classes, in letters.
 LENGTHS = (16, 64, 256, 1024)
 MARK = "\x02"
@@ -39,6 +41,17 @@ def length_class(n: int) -> int:
     return sum(n > x for x in LENGTHS)
 
 
+def beginnings(text: str | None) -> list[str]:
+    """The first words of a text up to the two shortest length classes' ends, where it is longer."""
+    words, out = letter_words(text), []
+    ends = np.cumsum([len(w) for w in words])
+    for most in LENGTHS[:2]:
+        k = int(np.searchsorted(ends, most, "right"))
+        if 0 < k < len(words):
+            out.append(" ".join(words[:k]))
+    return out
+
+
 def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
     """For n = 1..order the hash of the n-gram that ends at each position (those that would begin before 0 are void)."""
     out, sums = [], codes.astype(np.uint64) + np.uint64(1)
@@ -241,21 +254,31 @@ def train(rows: DataFrame, *, order: int = ORDER, per_language: int = PER_LANGUA
 
     def calibrate():
         score = model.scorer()
+        others = {lang: Model([x for x in langs if x != lang], [t for x, t in zip(langs, model.tables, strict=True) if x != lang], order).scorer() for lang in langs}
 
         def out(rows):
-            for row, (lang, cross, _, letters) in zip(rows, score([r["text"] for r in rows]), strict=True):
-                if cross is not None and lang == row["lang"]:
-                    yield lang, length_class(letters), cross
+            for row in rows:
+                texts = [row["text"], *beginnings(row["text"])]
+                for lang, cross, _, letters in score(texts):
+                    if cross is not None and lang == row["lang"]:
+                        yield lang, length_class(letters), False, cross
+                for lang, cross, _, letters in others[row["lang"]](texts):
+                    if cross is not None:
+                        yield lang, length_class(letters), True, cross
 
         return out
 
-    found = map_rows(sample.where("fold = 0").select("lang", "text"), calibrate, "lang string, size int, cross double", chunks=True)
-    limits = found.groupBy("lang", "size").agg(F.percentile("cross", F.lit(QUANTILE)).alias("q"), F.count("*").alias("n")).collect()
-    widest = {lang: max((r["q"] for r in limits if r["lang"] == lang), default=np.inf) for lang in langs}
+    found = map_rows(sample.where("fold = 0").select("lang", "text"), calibrate, "lang string, size int, alien boolean, cross double", chunks=True)
+    cost = F.percentile("cross", F.array(F.lit(FOREIGN), F.lit(QUANTILE)))
+    limits = {(r["lang"], r["size"], r["alien"]): r for r in found.groupBy("lang", "size", "alien").agg(cost.alias("q"), F.count("*").alias("n")).collect()}
     for lang in langs:
+        clean = [r for (x, _, alien), r in limits.items() if x == lang and not alien]
+        widest = max((r["q"][1] for r in clean), default=np.inf)
         for size in range(len(LENGTHS) + 1):
-            q = next((r["q"] for r in limits if (r["lang"], r["size"]) == (lang, size) and r["n"] >= 50), widest[lang])
-            model.limits[lang, size] = float(q * MARGIN) if size else float("inf")  # too few letters to reject
+            own, alien = limits.get((lang, size, False)), limits.get((lang, size, True))
+            q = own["q"][1] if own and own["n"] >= 50 else widest
+            low = alien["q"][0] if alien and alien["n"] >= 5 else q
+            model.limits[lang, size] = float(max(q, (q + low) / 2))
     return model
 
 

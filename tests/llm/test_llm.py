@@ -268,6 +268,17 @@ def test_language_identification(spark):
     assert [r["lang_pred"] for r in langid.identify(table(spark, ["tor"]), nothing).collect()] == ["und"]
 
 
+def test_languages_that_were_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(docs.where(~langid.held_out()).where("lang <> 'de'"))
+    found = langid.identify(docs, model).join(docs.select("doc_id", "lang", langid.held_out().alias("held")), "doc_id").collect()
+    alien, clean = ([r["rejected"] for r in found if (r["lang"] == "de") == german and (german or r["held"])] for german in (True, False))
+    print("left out and rejected", sum(alien), len(alien), "clean and rejected", sum(clean), len(clean))
+    assert sum(alien) >= 0.9 * len(alien) and sum(clean) <= 0.02 * len(clean)
+    short = langid.identify(table(spark, ["日本語の文", "xqzw kjx"]), model).collect()
+    assert all(r["rejected"] for r in short)
+
+
 def test_kneser_ney_sums_to_one():
     grams = {}
     for w in ("tormel", "torsin", "melmel", "dak"):
