@@ -112,7 +112,9 @@ class Matrix:
 def read(spark: SparkSession, path: str) -> Matrix:
     """A matrix with ``nz(t, i, j[, re[, im]][, part])``, 0-based; entries out of bounds or in the wrong triangle raise."""
     lines = numbered(spark, path)
-    top = [r["value"] for r in lines.where("line < 10000").orderBy("line").collect()]
+    # The size line is the first that is neither blank nor a comment; what stands above it is read, however long.
+    size_at = lines.where("trim(value) <> '' AND NOT startswith(trim(value), '%')").agg(F.min("line")).first()[0]
+    top = [r["value"] for r in lines.where(F.col("line") <= F.lit(size_at)).orderBy("line").collect()]
     meta, at = parse_header(top)
     starts: list[int] = []
     if meta.object == "D":
@@ -125,7 +127,7 @@ def read(spark: SparkSession, path: str) -> Matrix:
     value = {"P": [], "I": ["re"], "R": ["re"], "C": ["re", "im"]}[meta.field]
     body = lines.where((F.col("line") >= at) & (F.col("line") < at + meta.nnz)).withColumn("x", token)
     nz = body.select(
-        (F.col("line") - at).alias("t"), (F.col("x")[0].try_cast("long") - 1).alias("i"), (F.col("x")[1].try_cast("long") - 1).alias("j"), *[F.col("x")[2 + k].try_cast("double").alias(c) for k, c in enumerate(value)]
+        (F.col("line") - at).alias("t"), (F.get("x", F.lit(0)).try_cast("long") - 1).alias("i"), (F.get("x", F.lit(1)).try_cast("long") - 1).alias("j"), *[F.get("x", F.lit(2 + k)).try_cast("double").alias(c) for k, c in enumerate(value)]
     )
     wrong = (F.col("i") < 0) | (F.col("i") >= meta.m) | (F.col("j") < 0) | (F.col("j") >= meta.n)
     wrong |= {"G": F.lit(False), "K": F.col("i") <= F.col("j")}.get(meta.symmetry, F.col("i") < F.col("j"))
@@ -140,7 +142,7 @@ def read(spark: SparkSession, path: str) -> Matrix:
     for has, size in ((meta.row_weights, meta.m), (meta.col_weights, meta.n)):
         weights.append(lines.where((F.col("line") >= at) & (F.col("line") < at + size)).select((F.col("line") - at).alias("idx"), F.trim("value").try_cast("long").alias("w")) if has else None)
         at += size * has
-    tail = "\n".join(r["value"] for r in lines.where(F.col("line") >= at).where("trim(value) LIKE '\\%%'").orderBy("line").limit(1000).collect())
+    tail = "\n".join(r["value"] for r in lines.where(F.col("line") >= at).where("trim(value) LIKE '\\%%'").orderBy("line").collect())
     return Matrix(replace(meta, tail=tail), nz, *weights)
 
 
@@ -186,8 +188,9 @@ def read_vector(spark: SparkSession, path: str) -> tuple[int, int, DataFrame]:
     x = F.split(F.trim("value"), r"\s+")
     first = rows.orderBy("line").limit(1).collect()[0]
     length, parts = (int(v) for v in first["value"].split()[:2])
-    owner = rows.where(F.col("line") > first["line"]).select((x[0].cast("long") - 1).alias("idx"), (x[1].cast("int") - 1).alias("part"))
-    if owner.agg(F.count_if((F.col("idx") < 0) | (F.col("idx") >= length) | (F.col("part") < 0) | (F.col("part") >= parts))).first()[0]:
+    owner = rows.where(F.col("line") > first["line"]).select((F.get(x, F.lit(0)).try_cast("long") - 1).alias("idx"), (F.get(x, F.lit(1)).try_cast("int") - 1).alias("part"))
+    wrong = (F.col("idx") < 0) | (F.col("idx") >= length) | (F.col("part") < 0) | (F.col("part") >= parts)
+    if owner.agg(F.count_if(F.coalesce(wrong, F.lit(True)))).first()[0]:
         raise ValueError("index or part out of range")
     return length, parts, owner
 

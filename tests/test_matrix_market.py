@@ -34,6 +34,24 @@ def test_complex_entries(spark, tmp_path):
     assert m.nz.where("im = 1").count() == 1
 
 
+@pytest.mark.parametrize(
+    ("body", "condition", "found"),
+    [
+        ("weighted-matrix coordinate real general\n2 2 2 3\n1 1 -1.0\n2 1 2.5\n1\n2\n3\n4", "re > 0", 1),
+        ("weighted-matrix coordinate pattern general\n2 2 2 3\n1 1\n2 1\n1\n2\n3\n4", "j = 0", 2),
+        ("matrix coordinate complex general\n2 2 2\n1 1 1 2\n2 1 3 4", "im > 2", 1),
+    ],
+)
+def test_filters_reach_entries_only(spark, tmp_path, body, condition, found):
+    assert mm.read(spark, put(tmp_path, f"%%MatrixMarket {body}\n")).nz.where(condition).count() == found
+
+
+def test_long_comments_are_read_whole(spark, tmp_path):
+    head, tail = "\n".join(f"% {k}" for k in range(12_000)), "\n".join(f"% end {k}" for k in range(1_500))
+    m = mm.read(spark, put(tmp_path, f"%%MatrixMarket matrix coordinate pattern general\n{head}\n1 1 1\n1 1\n{tail}\n"))
+    assert m.meta.header == head and m.meta.tail == tail and m.nz.count() == 1
+
+
 @pytest.mark.parametrize(
     "text",
     ["%%MatrixMarket matrix coordinate real general\n2 2 1\n3 1 1.0\n", "%%MatrixMarket matrix coordinate real symmetric\n2 2 1\n1 2 1.0\n", "%%MatrixMarket matrix coordinate real general\n0 2 1\n", "%%MatrixMarket matrix coordinate real general\n2 2 2\n1 1 1\n"],
