@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct word shingles. Documents with
 so groups of copies cost one row. Two small collections of ``bands`` half-keys (each ``rows`` minhashes) are made per node;
 a table key is a pair of half-keys, one of each collection, so ``bands ** 2`` tables need only ``2 * bands * rows``
 minhashes. Within a table's bucket no pairs are listed: the member that meets most others is the hub, and all members
-compare with it. Confirmed links give components; whatever in a bucket is still apart from others is then compared across
-components, so each bucket's links are all found. That comparison first bounds the intersection by the shingles of either
+compare with it. Confirmed links give components; whatever in a bucket is still apart from the hub's component is then
+compared with all of the bucket that is of other components, so each bucket's links are all found. That comparison first bounds the intersection by the shingles of either
 text that any other text there has at all, exactly, and looks at sketches of ``BITS`` one-bit minhashes, both inside the
 join: pairs that can't be links make no row. Copies that are too far from the hub for a link mostly are so by shingles of
 their own, which rules them out against all other copies as well. Every link is confirmed on the full sets.
@@ -128,20 +128,24 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         return near.where(100 * F.col("both") >= similarity * (F.size("p") + F.size("q") - F.col("both"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
     fits = f"100 * least(n, n2) >= {similarity} * greatest(n, n2)"
-    hub = member.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
+    hub = member.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"), F.count("*").alias("met"))
     star = member.join(hub, "key").select(F.col("node").alias("x"), "n", F.col("hub.node").alias("y"), F.col("hub.n").alias("n2")).where("x <> y").where(fits).distinct()
     links = cut(confirmed(star.select("x", "y")))
-    group = components(links)
-    # What is still apart in one bucket: compared across components, each pair once.
-    apart = member.join(group, "node", "left").withColumn("component", F.coalesce("component", "node")).select("key", "at", "node", "n", "component")
-    mixed = apart.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("met")).where("c1 <> c2 AND met > 2").select("key")  # of two, one is the hub
-    apart = cut(apart.join(mixed, "key", "left_semi"))
+    group = cut(components(links))
+    # What is still apart from its bucket's hub is compared with the rest of the bucket, each pair once: large groups of
+    # copies are mostly the hub's, so few rows have anything to compare.
+    owner = if_small(cut(group.where("node <> component")))
+    of = lambda df, name, out: df.join(owner.select(F.col("node").alias(name), F.col("component").alias(out)), name, "left").withColumn(out, F.coalesce(out, name))
+    leader = of(hub.select("key", "met", F.col("hub.node").alias("hub")), "hub", "hub_component")
+    apart = cut(of(member, "node", "component").join(leader, "key").where("met > 2").select("key", "at", "node", "n", "component", (F.col("component") != F.col("hub_component")).alias("minor")))  # of two, one is the hub
+    apart = cut(apart.join(cut(apart.where("minor").select("key").distinct()), "key", "left_semi"))
     items = full_set.join(apart.select("node").distinct(), "node", "left_semi").select("node", F.explode("items").alias("item"))
     own = items.groupBy("item").agg(F.count("*").alias("texts"), F.min("node").alias("node")).where("texts = 1").groupBy("node").agg(F.count("*").alias("own"))
     facts = full_set.select("node", "bits").join(own, "node", "left").select("node", "bits", F.coalesce("own", F.lit(0)).alias("own"))
     apart = apart.join(facts, "node").withColumn("rest", F.col("n") - F.col("own")).where(100 * F.col("rest") >= similarity * F.col("n"))
     apart = cut(apart.drop("own").join(node.select("node", "a", "b"), "node"))
-    other = apart.select("key", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("rest").alias("rest2"), F.col("component").alias("component2"), F.col("bits").alias("bits2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+    minor, major = apart.where("minor").drop("minor"), apart.where("NOT minor").drop("minor")
+    other = lambda df: df.drop("at").withColumnsRenamed({c: f"{c}2" for c in df.columns if c not in ("key", "at")})
     # A pair that meets in many tables counts in the first of them.
     first = [F.least(*[F.when(F.col(s)[k] == F.col(f"{s}2")[k], k) for k in range(bands)]) if bands > 1 else F.lit(0) for s in "ab"]
     same_bit = (1 + similarity / 100) / 2
@@ -149,7 +153,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alike = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(BITS // 64)), F.lit(0)) <= differ
     most = F.least("rest", "rest2")
     possible = 100 * most >= similarity * (F.col("n") + F.col("n2") - most)
-    cross = apart.join(other, "key").where("component < component2").where(fits).where(possible).where(alike).where(first[0] * bands + first[1] == F.col("at")).select(F.col("node").alias("x"), F.col("node2").alias("y")).distinct()
+    worth = lambda df: df.where(fits).where(possible).where(alike).where(first[0] * bands + first[1] == F.col("at")).select(F.col("node").alias("x"), F.col("node2").alias("y"))
+    cross = worth(minor.join(other(minor), "key").where("component < component2")).union(worth(minor.join(other(major), "key"))).distinct()
     tried = star.select(F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi"))
     cross = cross.withColumns({"lo": F.least("x", "y"), "hi": F.greatest("x", "y")}).join(tried, ["lo", "hi"], "left_anti").select("x", "y")
     links = links.union(confirmed(cross))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,6 @@ MEMO_CHUNKS = 500_000
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-@cache
 def _byte_letters() -> dict[int, str]:
     """The printable stand-in of each byte in byte-level vocabularies: itself if printable, else the next code from 256."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
