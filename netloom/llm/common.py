@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -146,15 +147,26 @@ def map_rows(df: DataFrame, make: Callable[[], Callable], schema: str, *, chunks
     return df.mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset one of its own, on a local master only."""
+    context = spark.sparkContext
+    if found := context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
+        return found.rstrip("/")
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="netloom-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset.
+    """A reliable checkpoint in the shared folder.
 
     What the checkpoint no longer needs (shuffles, earlier checkpoints) is freed at once: Spark frees it when the driver
     collects its garbage, which a driver with little to do does too seldom.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="netloom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     out = df.checkpoint(eager=True)
     del df
     gc.collect()
@@ -162,6 +174,20 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+class Kept:
+    """A table of its own in the shared folder of ``spark.checkpoint.dir``, compressed; ``drop()`` once nothing reads ``df`` any more."""
+
+    def __init__(self, df: DataFrame):
+        self.spark = df.sparkSession
+        self.path = f"{shared_folder(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(self.path)
+        self.df = self.spark.read.parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -2,8 +2,9 @@
 
 A page is read once into blocks of text, each with its container: the innermost structural element, described by its
 generalised path of tags and classes (numbers dropped). Containers are scored by their text (length, less links and
-boilerplate names). In Spark, the scores of a host's pages are summed by path, so a host votes for the path that holds
-its articles; pages are then extracted again with their host's winning path. A page without that path uses its own best.
+boilerplate names). In Spark, the scores of a host's pages are summed by path, so a host votes for the paths that hold
+its articles; pages are then extracted again with their host's winning paths. A page of which they hold too little uses its
+own best. The html stays where it is: only votes are shuffled and winners sent, unless there are very many hosts.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from html import unescape
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import cut, if_small, map_rows
 
 #: HTML elements by their role here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style noscript template head title nav header footer aside form button select option textarea label fieldset iframe object svg canvas audio video menu dialog figcaption".split())
+SKIPPED = frozenset("script style noscript template head title nav header footer aside form button select option textarea label fieldset iframe object svg canvas audio video menu dialog".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article body div main section td".split())
 #: Elements that end an open p, and elements that end an open one of the same kind.
@@ -28,9 +29,17 @@ SAME = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr":
 NAMES = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|banner|breadcrumbs?|comments?|comment\w*|consent|cookies?|disqus|footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo\w*|related|recommend\w*|respond|replies|reply|share|sharing|sidebar|side|signup|skip|social|sponsor\w*|subscribe|tags?|toolbar|widget\w*|complementary|contentinfo|search)(?:[^a-z]|$)"
 )
+#: Words among them that inside a marked article may stand for parts of it.
+INSIDE = re.compile(r"\b(?:related|recommend\w*|share|sharing|side|skip|social|tags?|search)\b")
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
+#: Share of the leading path's votes that makes another path of the host a winner too; hosts up to which the winners are broadcast.
+FAIR, HOSTS = 0.25, 200_000
+#: A container that says it is the article.
+MARKED = re.compile(r">(?:article|main)(?=[.>]|$)")
+#: Share of its page's text that a host's path must hold to be taken; least share of the winner's text, and most share of links, of a sibling that joins it.
+HOLDS, JOINS, LINKS = 0.5, 0.1, 0.25
 
 
 class Page:
@@ -93,7 +102,8 @@ class Page:
             if rest and rest != "/":
                 for name, *values in ATTRIBUTE.findall(rest):
                     value = next(filter(None, values), "").lower()
-                    gone = gone or name.lower() == "hidden" or bool(NAMES.search(value)) and tag not in ("html", "body", "main", "article")
+                    telling = INSIDE.sub("", value) if MARKED.search(stack[-1][1]) else value
+                    gone = gone or name.lower() == "hidden" or bool(NAMES.search(telling)) and tag not in ("html", "body", "main", "article")
                     if name.lower() == "class":
                         named = ".".join(sorted({re.sub(r"\d+", "", w) for w in value.split()}))
             path, skipped = stack[-1][1], stack[-1][2] or gone
@@ -117,13 +127,30 @@ class Page:
                 path, weight = path.rpartition(">")[0], weight * 0.6
         return out
 
-    def text(self, path: str | None) -> str:
-        """The blocks inside containers of ``path``; of the page's best container if it has none of that path."""
-        inside = [t for p, t, _ in self.blocks if path and (p == path or p.startswith(path + ">"))]
-        if not inside and (scores := self.scores()):
-            path = max(sorted(scores), key=scores.get)
-            inside = [t for p, t, _ in self.blocks if p == path or p.startswith(path + ">")]
-        return "\n".join(inside or [t for _, t, _ in self.blocks])  # a fragment without any container
+    def text(self, paths: list[str] | None) -> str:
+        """The main text: the blocks of the container that the host's ``paths`` name, or of the page's own best where they hold too
+        little of it; with the whole article around it if one is marked, else with its siblings that read like it."""
+        if not (scores := self.scores()):
+            return "\n".join(t for _, t, _ in self.blocks)  # a fragment without any container
+        within = lambda p, root: p == root or p.startswith(root + ">")
+        plain = lambda root: sum(max(len(t) - 2 * linked, 0) for p, t, linked in self.blocks if within(p, root))
+        total = sum(max(len(t) - 2 * linked, 0) for _, t, linked in self.blocks)
+        best = max((p for p in sorted(paths or ()) if p in scores and plain(p) >= HOLDS * total), key=scores.get, default=None)
+        best = best or max(sorted(scores), key=scores.get)
+        if marks := list(MARKED.finditer(best)):  # the outermost article, unless a main holds several things
+            first = next((m for m in marks if m[0] == ">article"), marks[0])
+            best = best[: next((k for k in range(first.end(), len(best)) if best[k] == ">"), len(best))]
+        parent, roots = best.rpartition(">")[0], [best]
+        if parent and not MARKED.search(best):
+            weight = plain(best)
+            for near in sorted({p[: p.find(">", len(parent) + 1)] if p.find(">", len(parent) + 1) > 0 else p for p, _, _ in self.blocks if p.startswith(parent + ">")} - {best}):
+                whole, linked = sum(len(t) for p, t, _ in self.blocks if within(p, near)), sum(n for p, _, n in self.blocks if within(p, near))
+                if plain(near) >= JOINS * weight and linked <= LINKS * whole:
+                    roots.append(near)
+            loose = parent.rpartition(">")[2] != "body"  # text of the parent itself, such as a heading above the container
+        else:
+            loose = False
+        return "\n".join(t for p, t, _ in self.blocks if any(within(p, r) for r in roots) or loose and p == parent)
 
 
 def host_of(url):
@@ -134,8 +161,8 @@ def host_of(url):
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text`` for every row.
 
-    Null and empty html give an empty text. Pages without a host are each judged alone. Votes that tie go to the path first
-    in order. Ids may be null or repeat; other columns are ignored. An empty table gives no rows.
+    Null and empty html give an empty text; pages are read whole. Pages without a host are each judged alone. Scores that tie
+    go to the path first in order. Ids may be null or repeat; other columns are ignored. An empty table gives no rows.
     """
     kind = dict(pages.dtypes)[id_col]
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
@@ -153,9 +180,12 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         return out
 
     cast = map_rows(pages.where("host <> ''").select("host", "html"), votes, "host string, path string, votes bigint", chunks=True)
-    won = cast.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), "path")).alias("path"))
+    cast = cut(cast.groupBy("host", "path").agg(F.sum("votes").alias("votes")))
+    top = cast.groupBy("host").agg(F.max("votes").alias("top"))
+    # Paths with a fair share of the leader's votes: a host may have several templates.
+    won = cut(cast.join(top, "host").where(F.col("votes") >= FAIR * F.col("top")).groupBy("host").agg(F.sort_array(F.collect_set("path")).alias("paths")))
 
     def extract():
-        return lambda r: [(r["page_id"], r["url"], Page(r["html"]).text(r["path"]))]
+        return lambda r: [(r["page_id"], r["url"], Page(r["html"]).text(r["paths"]))]
 
-    return map_rows(pages.join(won, "host", "left").select("page_id", "url", "html", "path"), extract, f"page_id {kind}, url string, text string")
+    return map_rows(pages.join(if_small(won, HOSTS), "host", "left").select("page_id", "url", "html", "paths"), extract, f"page_id {kind}, url string, text string")

@@ -34,7 +34,12 @@ LETTERS = re.compile(r"[^\W\d_]+").findall
 
 
 def letter_words(text: str | None) -> list[str]:
-    return LETTERS(text.lower()) if text else []
+    """Runs of letters, in lower case; figures such as \u00b2 or \u2167, which a word pattern takes in, are none."""
+    words = LETTERS(text.lower()) if text else []
+    if words and not "".join(words).isalpha():
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split(" ")
+        words = [w for w in words if w]
+    return words
 
 
 def length_class(n: int) -> int:
@@ -236,7 +241,8 @@ def train(rows: DataFrame, *, order: int = ORDER, per_language: int = PER_LANGUA
     """Learns from ``rows(doc_id, text, lang)``; rows with null text or language teach nothing.
 
     Of each language about ``per_language`` texts are used, one in ``CALIBRATION_SHARE`` of them for the limits of
-    rejection only. Without rows the model knows no language and says ``und``.
+    rejection only. A language whose sampled texts hold no letter is not learned; without any the model says ``und``.
+    Repeated rows count each, but are drawn or left out together; extra columns are ignored.
     """
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
     keyed = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
@@ -250,6 +256,15 @@ def train(rows: DataFrame, *, order: int = ORDER, per_language: int = PER_LANGUA
     grams: dict[str, dict[str, int]] = {lang: {} for lang in langs}
     for r in _counts(sample.where("fold <> 0"), order).toPandas().itertuples():
         grams[r.lang][r.gram] = r.n
+    # A language with few texts may have all of them in the fold for calibration; it learns from these.
+    few = [lang for lang in langs if not grams[lang]]
+    if few:
+        for r in _counts(sample.where("fold = 0").where(F.col("lang").isin(few)), order).toPandas().itertuples():
+            grams[r.lang][r.gram] = r.n
+    langs = [lang for lang in langs if grams[lang]]
+    if not langs:
+        return Model([], [], order)
+    sample = sample.where(F.col("lang").isin(langs))
     model = Model(langs, [kneser_ney(grams[lang], order) for lang in langs], order)
 
     def calibrate():
@@ -287,7 +302,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
     ``und`` with score 0 and rejected: text null, or without a letter, or no language learned. ``score`` is the share of
     the best language in the likelihoods at the text's mean cross-entropy. Ties go to the language first in order. Ids may
-    be null or repeat; other columns are ignored.
+    be null or repeat; long texts are read whole; other columns are ignored, so names can't clash. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     sent = Shared(docs.sparkSession, model)  # bounded by per_language

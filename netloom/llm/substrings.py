@@ -3,15 +3,15 @@
 A window is ``size`` consecutive words. Every window has an anchor: the smallest hash among its sub-windows of ``inner``
 words, so equal windows have equal anchors and a text has one anchor for many windows. Three passes over the texts:
 
-1. Each task counts anchors (once per document) into count-min rows; aggregation merges the partitions' sketches. The
-   sketch is a distributed table of the cells in use, with a width that grows with the corpus, so it neither saturates nor
-   meets in one place. An estimate is at least the true count, so a window whose anchor is estimated to occur in one
-   document only can't be repeated, and nothing is lost by leaving it out.
-2. Windows with repeated anchors are grouped exactly, by 128 bits of hash, to the smallest document that has them.
+1. Each task counts anchors (once per document) in a count-min sketch of its own; the partitions' sketches are merged slice by
+   slice, counting to two. An estimate is at least the true count, so a window whose anchor is estimated to occur in
+   one document only can't be repeated, and nothing is lost by leaving it out.
+2. The merged sketch, of bounded size, goes to all tasks, which send on the windows it takes for repeated. These are grouped
+   exactly, by 128 bits of hash, to the smallest document that has them.
 3. Each text drops the words under windows whose smallest document is a smaller one than its own.
 
-Documents with the same words throughout are one document to steps 1 and 2 (the smallest), so large groups of copies cost
-one row each; a hot passage is only ever aggregated by partial sums and minima, or joined.
+Copies of a whole text are one document to steps 1 and 2 (the smallest), so large groups of copies cost one row each; a hot
+passage is only ever aggregated by partial sums and minima, or joined.
 """
 
 from __future__ import annotations
@@ -20,9 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_1, BASE_2, Roller, cut, hashed, map_rows, mix, signed, word_hashes, words_of
+from .common import BASE_1, BASE_2, READ_ROWS, Kept, Roller, Shared, cut, hashed, if_small, map_rows, mix, signed, word_hashes, words_of
 
-SIZE, INNER, DEPTH, CELLS_PER_ANCHOR = 50, 12, 2, 8
+SIZE, INNER, DEPTH = 50, 12, 2
+#: Characters of text for each cell of the sketch's rows (about eight cells an anchor), and the most cells of a row.
+CHARS_PER_CELL, WIDEST = 16, 1 << 28
+#: Cells of a slice, tasks whose slices are merged first, anchors that a task holds before it sends them on.
+SLICE, FAN, HELD = 1 << 18, 64, 4_000_000
+#: Rows up to which a table is broadcast.
+SMALL = 200_000
 
 
 def slide_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -46,13 +52,6 @@ class Windows:
         words = words_of(text)
         return words, hashed(words, self.memo)
 
-    def whole(self, h: np.ndarray) -> tuple[int, int]:
-        """128 bits of the word sequence."""
-        if not len(h):
-            return 0, 0
-        a, b = self.one(h, len(h)), self.two(mix(h), len(h))
-        return int(signed(a)[0]), int(signed(b)[0])
-
     def first(self, h: np.ndarray) -> np.ndarray:
         return self.one(h, self.size)
 
@@ -64,89 +63,144 @@ class Windows:
         return slide_min(self.two(h, self.inner), self.size - self.inner + 1) if len(h) >= self.size else np.empty(0, np.uint64)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, inner: int = INNER) -> DataFrame:
+def cells_of(anchors: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cell of each anchor in a row of the sketch."""
+    with np.errstate(over="ignore"):
+        return mix(anchors + np.uint64(row + 1) * np.uint64(BASE_1)) & np.uint64(width - 1)
+
+
+def merged_sketch(texts: DataFrame, size: int, inner: int, width: int) -> list[np.ndarray]:
+    """Per row of the count-min sketch a packed bit for each cell: whether two or more documents of ``texts(text)`` fall there.
+
+    Each task sends its sketch in slices of ``SLICE`` cells, as the cells in use and whether they hold more than one. Slices are
+    merged by adding up to two, ``FAN`` tasks' at a time and then all, so a group's size doesn't follow the corpus.
+    """
+    schema = "row int, slice int, bunch int, cells binary, more binary"
+    part = min(width, SLICE)
+
+    def pieces(row: int, cells: np.ndarray, twice: np.ndarray, bunch: int):
+        edges = np.searchsorted(cells, np.arange(0, width + 1, part, dtype=np.uint64))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            here = slice(edges[k], edges[k + 1])
+            yield row, k, bunch, (cells[here] - np.uint64(k * part)).astype("<u4").tobytes(), np.packbits(twice[here]).tobytes()
+
+    def sketch(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        w, bunch, held, n = Windows(size, inner), TaskContext.get().partitionId() // FAN, [], 0
+
+        def flush():
+            for row in range(DEPTH):
+                cells, times = np.unique(cells_of(np.concatenate(held), row, width), return_counts=True)
+                columns = zip(*pieces(row, cells, times > 1, bunch), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["row", "slice", "bunch", "cells", "more"])
+            held.clear()
+
+        for batch in batches:
+            for text in batch.column("text"):
+                anchors = np.unique(w.anchors(w.words(text.as_py())[1]))
+                if len(anchors):
+                    held.append(anchors)
+                    n += len(anchors)
+                if n >= HELD:
+                    yield from flush()
+                    n = 0
+        if held:
+            yield from flush()
+
+    def merge(pdf):
+        import pandas as pd
+
+        count = np.zeros(part, np.uint8)
+        for cells, more in zip(pdf["cells"], pdf["more"], strict=True):
+            at = np.frombuffer(cells, "<u4")
+            count[at] = np.minimum(count[at] + 1 + np.unpackbits(np.frombuffer(more, np.uint8), count=len(at)), 2)
+        at = np.flatnonzero(count)
+        return pd.DataFrame({"row": pdf["row"][:1], "slice": pdf["slice"][:1], "bunch": 0, "cells": [at.astype("<u4").tobytes()], "more": [np.packbits(count[at] > 1).tobytes()]})
+
+    made = texts.select("text").mapInArrow(sketch, schema)
+    made = made.groupBy("row", "slice", "bunch").applyInPandas(merge, schema).groupBy("row", "slice").applyInPandas(merge, schema)
+    out = [np.zeros(width, bool) for _ in range(DEPTH)]
+    for r in made.select("row", "slice", "cells", "more").toLocalIterator():  # at most DEPTH * WIDEST cells
+        at = np.frombuffer(r["cells"], "<u4")
+        out[r["row"]][r["slice"] * part + at] = np.unpackbits(np.frombuffer(r["more"], np.uint8), count=len(at)).astype(bool)
+    return [np.packbits(x) for x in out]
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, inner: int = INNER, width: int | None = None) -> DataFrame:
     """``doc_id, kept_text, n_words, n_removed``: kept words joined by one space.
 
     Null and empty texts have no words. Windows are judged on the input. Rows that share an id neither remove each other's
     words nor their own; a null id is neither smaller nor larger than any, so its row is kept whole. Texts shorter than a
-    window are kept whole. Other columns are ignored. An empty table gives no rows.
+    window are kept whole; long ones are read whole. Other columns are ignored. An empty table gives no rows. ``width`` is the
+    sketch's, a power of two; by default it follows the corpus up to ``WIDEST``, and beyond that more windows are grouped.
     """
     if not 0 < inner <= size:
         raise ValueError("inner must be between 1 and size")
-    kind = dict(docs.dtypes)[id_col]
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind, spark = dict(docs.dtypes)[id_col], docs.sparkSession
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumns({"k1": F.xxhash64("text"), "k2": F.xxhash64(F.lit(1), "text")})
+    # Copies of a text with a smaller id go whole; they are known by their hash and take no part in what follows.
+    same = docs.where("doc_id IS NOT NULL").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").drop("last_id")
+    docs = docs.join(if_small(cut(same), SMALL), ["k1", "k2"], "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("first_id"), F.lit(False)))
+    fresh = docs.where(~F.col("copy") & F.col("doc_id").isNotNull())
+    if width is None:
+        chars = fresh.agg(F.sum(F.length("text"))).first()[0] or 0
+        width = 1 << min(max(16, int(chars // CHARS_PER_CELL).bit_length()), WIDEST.bit_length() - 1)
+    sent = Shared(spark, merged_sketch(fresh, size, inner, width))  # DEPTH * WIDEST bits at most
+
+    def expand(batches):
+        import pyarrow as pa
+
+        w, sketch = Windows(size, inner), sent.value
+
+        def heavy(row: int, anchors: np.ndarray) -> np.ndarray:
+            cell = cells_of(anchors, row, width)
+            return sketch[row][cell >> np.uint64(3)] >> (np.uint64(7) - (cell & np.uint64(7))).astype(np.uint8) & np.uint8(1)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, READ_ROWS):
+                found, part = [], batch.slice(at, READ_ROWS)
+                for k, text in enumerate(part.column("text")):
+                    _, h = w.words(text.as_py())
+                    if len(h) >= size:
+                        anchors = w.anchors(h)
+                        hit = np.flatnonzero(heavy(0, anchors))
+                        for row in range(1, DEPTH):
+                            hit = hit[heavy(row, anchors[hit]) > 0]
+                        if len(hit):
+                            found.append((np.full(len(hit), k), hit, signed(w.first(h)[hit]), signed(w.second(h)[hit])))
+                if found:
+                    rows, *rest = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(rows)), part.column("k1").take(pa.array(rows)), pa.array(rest[0].astype(np.int32)), *map(pa.array, rest[1:])], ["doc_id", "k1", "at", "w1", "w2"])
+
+    windows = Kept(fresh.select("doc_id", "k1", "text").mapInArrow(expand, f"doc_id {kind}, k1 bigint, at int, w1 bigint, w2 bigint"))
+    owner = windows.df.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("w1", "w2", "first_id")
+    covered = windows.df.join(if_small(cut(owner), SMALL), ["w1", "w2"]).where("first_id < doc_id").groupBy("doc_id", "k1").agg(F.collect_list("at").alias("covered"))
+    covered = cut(covered)
+    windows.drop()
+    rows, places = covered.agg(F.count("*"), F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()
+    if rows + places <= 10 * SMALL:  # 4 bytes each
+        covered = F.broadcast(covered)
 
-    def summarise():
-        w = Windows(size, inner)
-
-        def rows(row):
-            _, h = w.words(row["text"])
-            if len(h) >= size and row["doc_id"] is not None:
-                yield row["doc_id"], *w.whole(h), len(h), signed(np.unique(w.anchors(h))).tolist()
-
-        return rows
-
-    # Pass 1: what each document is, and its anchors.
-    brief = cut(map_rows(docs, summarise, f"doc_id {kind}, d1 bigint, d2 bigint, n bigint, anchors array<bigint>"))
-    same = brief.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id"))
-    copies = brief.select("doc_id", "d1", "d2", "n").join(same.withColumnRenamed("doc_id", "first_id"), ["d1", "d2", "n"]).where("first_id < doc_id").select("doc_id", "d1").distinct()
-    anchors = brief.join(same, ["d1", "d2", "n", "doc_id"], "left_semi").select("doc_id", F.explode("anchors").alias("anchor")).distinct()
-    total = brief.agg(F.sum(F.size("anchors"))).first()[0] or 0
-    width = 1 << max(16, int(total * CELLS_PER_ANCHOR).bit_length())
-    cell = [F.pmod(F.xxhash64("anchor", F.lit(row)), F.lit(width)) for row in range(DEPTH)]
-    seen = anchors
-    for row in range(DEPTH):
-        heavy = anchors.groupBy(cell[row].alias(f"cell{row}")).agg(F.count("*").alias("times")).where("times > 1").select(f"cell{row}") if row == 0 else seen.groupBy(cell[row].alias(f"cell{row}")).agg(F.count("*").alias("times")).where("times > 1").select(f"cell{row}")
-        seen = seen.withColumn(f"cell{row}", cell[row]).join(heavy, f"cell{row}", "left_semi").drop(f"cell{row}")
-    wanted = seen.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-
-    # Pass 2: exact groups of the windows that may be repeated.
-    def expand():
-        w = Windows(size, inner)
-
-        def rows(row):
-            if not row["anchors"]:
-                return
-            _, h = w.words(row["text"])
-            hit = np.flatnonzero(np.isin(signed(w.anchors(h)), np.array(row["anchors"], np.int64)))
-            if len(hit):
-                a, b = signed(w.first(h)[hit]), signed(w.second(h)[hit])
-                once = np.unique(a, return_index=True)[1]
-                for x, y in zip(a[once].tolist(), b[once].tolist(), strict=True):
-                    yield row["doc_id"], x, y
-
-        return rows
-
-    windows = map_rows(docs.join(wanted, "doc_id", "left"), expand, f"doc_id {kind}, w1 bigint, w2 bigint")
-    windows = cut(windows)
-    owner = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("w1", "w2", "first_id")
-    covered = windows.join(owner, ["w1", "w2"]).where("first_id < doc_id").groupBy("doc_id").agg(F.collect_set("w1").alias("covered"))
-    whole = copies.groupBy("doc_id").agg(F.collect_set("d1").alias("whole"))
-    verdicts = covered.join(whole, "doc_id", "full_outer")
-
-    # Pass 3: what stays.
     def apply():
-        w = Windows(size, inner)
-
         def rows(row):
             words = words_of(row["text"])
             n = len(words)
-            if n >= size and (row["covered"] or row["whole"]):
-                h = hashed(words, w.memo)
-                if row["whole"] and w.whole(h)[0] in row["whole"]:
-                    words = []
-                elif row["covered"]:
-                    at = np.flatnonzero(np.isin(signed(w.first(h)), np.array(row["covered"], np.int64)))
-                    edge = np.zeros(n + 1, np.int64)
-                    edge[at] += 1
-                    edge[at + size] -= 1
-                    gone = np.cumsum(edge[:n]) > 0
-                    words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
+            if n >= size and row["copy"]:
+                words = []
+            elif n >= size and row["covered"]:
+                edge, at = np.zeros(n + 1, np.int64), np.unique(row["covered"])
+                edge[at] += 1
+                edge[at + size] -= 1
+                gone = np.cumsum(edge[:n]) > 0
+                words = [x for x, g in zip(words, gone.tolist(), strict=True) if not g]
             yield row["doc_id"], b" ".join(words).decode("utf-8", "surrogatepass"), n, n - len(words)
 
         return rows
 
-    return map_rows(docs.join(verdicts, "doc_id", "left"), apply, f"doc_id {kind}, kept_text string, n_words bigint, n_removed bigint")
+    judged = docs.select("doc_id", "text", "k1", "copy").join(covered, ["doc_id", "k1"], "left").select("doc_id", "text", "copy", "covered")
+    return map_rows(judged, apply, f"doc_id {kind}, kept_text string, n_words bigint, n_removed bigint")
 
 
 #: DuckDB SQL for the query op2_substring_dedup.

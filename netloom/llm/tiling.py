@@ -157,6 +157,8 @@ def _matcher(sent: Shared, seed: int, coverage: float):
             doc = doc[keep]
             for k in sorted(hits):
                 x = items[k]
+                if np.isin(x, doc).sum() < coverage * len(x):  # tiles can't cover more than the words that occur at all
+                    continue
                 inside = np.isin(doc, x)
                 part = np.where(inside, doc, 0)
                 thin = np.ones(len(part), bool)

@@ -1,13 +1,15 @@
 """Toxicity by weak supervision.
 
 1. Terms (words, and word beginnings) that labelled rows tie to toxic texts are found on a bounded sample.
-2. Voters: the toxic terms dealt into word and beginning lexicons, a rate of toxic terms, and surface patterns. Each votes
+2. Voters: the toxic terms dealt into word and beginning lexicons, rates of toxic terms, and surface patterns. Each votes
    on every text; the texts of each vote pattern are counted over all rows (at most 2 ** voters patterns).
 3. A generative label model (two classes, a rate per voter and class) is fitted to all patterns by EM, with the labelled
    rows as anchors. Correlation between voters beyond the class is estimated in each step and divides their weight.
-4. A linear classifier on the terms learns from the label model's posteriors of the sample, and scores every text.
+4. A linear classifier on the terms learns the label model's posteriors of documents, labelled or not, from their votes alone;
+   labels only place its bias. It scores every text.
 
-The sample: at most ``TOXIC`` toxic and ``CLEAN`` clean labelled rows, smallest hash of the id first.
+Samples: about ``TOXIC`` toxic and ``CLEAN`` clean labelled rows, and about as many documents that a first label model takes for
+either, all drawn by a hash.
 """
 
 from __future__ import annotations
@@ -22,16 +24,14 @@ from pyspark.sql import functions as F
 
 from .common import Memo, Shared, cut, if_small, map_rows
 
-TOXIC, CLEAN, TERMS, LEXICON, LEXICONS, STEPS = 4000, 8000, 2000, 400, 4, 200
-#: The accuracy that a row's own label is taken to have.
-TRUST = 0.98
+TOXIC, CLEAN, TERMS, LEXICON, LEXICONS, STEPS = 4000, 8000, 2000, 400, 5, 200
 #: Lengths of word beginnings; a beginning counts only where the word goes on.
 PREFIXES = (4, 5, 6, 7, 8)
 LETTERS = re.compile(r"[^\W\d_]+").findall
 #: Surface patterns that vote by themselves: shouting, piled-up exclamation marks, masked letters.
 PATTERNS = (r"(?:\b[A-Z]{3,}\b\W+){3}", r"!{3,}", r"\b[A-Za-z]+\*+[A-Za-z]+\b")
-#: A text in which at least one word in so many is toxic gets the rate voter's vote.
-RATE = 40
+#: A text in which at least one word in so many is toxic gets the vote of that rate's voter.
+RATES = (20, 40, 100)
 
 
 def terms_of_word(word: str) -> list[str]:
@@ -50,7 +50,7 @@ class Voters:
 
     @property
     def n(self) -> int:
-        return 2 * LEXICONS + 1 + len(PATTERNS)
+        return 2 * LEXICONS + len(RATES) + len(PATTERNS)
 
     def voter(self):
         patterns = [re.compile(p).search for p in PATTERNS]
@@ -63,16 +63,17 @@ class Voters:
                 if m := memo[w]:
                     mask |= m
                     toxic += n
-            mask |= (toxic > 0 and RATE * toxic >= total) << 2 * LEXICONS
+            for k, rate in enumerate(RATES):
+                mask |= (toxic > 0 and rate * toxic >= total) << 2 * LEXICONS + k
             for k, p in enumerate(patterns):
-                mask |= (p(text) is not None) << 2 * LEXICONS + 1 + k if text else 0
+                mask |= (p(text) is not None) << 2 * LEXICONS + len(RATES) + k if text else 0
             return mask
 
         return vote
 
 
 def bits(masks: np.ndarray, n: int) -> np.ndarray:
-    return (masks[:, None] >> np.arange(n) & 1).astype(np.float64)
+    return (np.asarray(masks, np.int64)[:, None] >> np.arange(n) & 1).astype(np.float64)
 
 
 @dataclass
@@ -130,8 +131,8 @@ class Classifier:
         return score
 
 
-def fit_classifier(x: np.ndarray, target: np.ndarray, labels: np.ndarray, terms: dict[str, int], steps: int = STEPS) -> Classifier:
-    """Logistic regression on soft targets (Adam, L2); then the bias that separates the sample's labels best, mid-gap."""
+def fit_classifier(x: np.ndarray, target: np.ndarray, known: np.ndarray, labels: np.ndarray, terms: dict[str, int], steps: int = STEPS) -> Classifier:
+    """Logistic regression of soft targets on ``x`` (Adam, L2); then the bias that separates the labelled rows ``known`` best, mid-gap."""
     w, b = np.zeros(x.shape[1], np.float32), np.float32(np.log(max(target.mean(), 1e-3) / max(1 - target.mean(), 1e-3)))
     m, v = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     target = target.astype(np.float32)
@@ -141,7 +142,7 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, labels: np.ndarray, terms:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1].astype(np.float32), b - np.float32(step[-1])
-    z = x @ w + b
+    z = known @ w + b
     order = np.argsort(z, kind="stable")
     s, y = z[order], labels[order]
     wrong = np.r_[0, np.cumsum(y)] + np.r_[(1 - y).sum(), (1 - y).sum() - np.cumsum(1 - y)]  # cut before k: toxic below + clean above
@@ -151,14 +152,25 @@ def fit_classifier(x: np.ndarray, target: np.ndarray, labels: np.ndarray, terms:
     return Classifier(terms, w, float(b - at))
 
 
+def drawn_by(key: F.Column, share: float) -> F.Column:
+    return F.pmod(key, F.lit(1 << 40)) < F.lit(int(min(share, 1.0) * (1 << 40)))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """From ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, both without what is held out. Without labels of both
-    kinds the classifier knows no term and scores every text alike, at the share of toxic labels (0.05 without labels)."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    draw = [known.where(cond).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for cond, n in (("toxic = 1", TOXIC), ("toxic = 0", CLEAN))]
-    ids = cut(draw[0].union(draw[1]))
-    sample = docs.join(if_small(ids), "doc_id").select("doc_id", "text", "toxic")
-    size = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    """From ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, both without what is held out.
+
+    Labels seed the lexicons, anchor the label model's classes and place the bias; the classifier's targets are the label
+    model's posteriors of documents, from their votes alone. Null texts vote as empty ones. Of an id with several labels the
+    highest counts; null ids and labels teach nothing; repeated rows count each; ties of terms go to the first in order; extra
+    columns are ignored. Without labelled texts of both kinds, also in empty tables, the classifier knows no term and scores
+    every text alike, at the share of toxic labels (0.05 without labels).
+    """
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    labelled = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("toxic") == 1, drawn_by(F.xxhash64("doc_id"), TOXIC / labelled.get(1, 1))).otherwise(drawn_by(F.xxhash64("doc_id"), CLEAN / labelled.get(0, 1)))
+    sample = cut(docs.join(if_small(cut(known.where(share))), "doc_id").select("text", "toxic"))
+    size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         share = n1 / (n1 + n0) if n1 + n0 else 0.05
@@ -182,9 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
                     yield flush()
         yield flush()
 
-    terms = sample.select("text", "toxic").mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    terms = sample.mapInArrow(count, "term string, a bigint, b bigint").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = F.log((F.col("a") + 0.1) / (n1 - F.col("a") + 0.1)) - F.log((F.col("b") + 0.1) / (n0 - F.col("b") + 0.1))
-    scored = terms.where("a + b >= 3").withColumn("z", odds / F.sqrt(1 / (F.col("a") + 0.1) + 1 / (F.col("b") + 0.1))).withColumn("sure", odds * F.sqrt(F.col("a")))
+    scored = cut(terms.where("a + b >= 3").withColumn("z", odds / F.sqrt(1 / (F.col("a") + 0.1) + 1 / (F.col("b") + 0.1))).withColumn("sure", odds * F.sqrt(F.col("a"))))
     positive = scored.where(f"a >= 3 AND a * {n0} >= 20 * b * {n1}").orderBy(F.desc("sure"), "term").limit(LEXICON).collect()
     useful = scored.orderBy(F.desc(F.abs("z")), "term").limit(TERMS - LEXICON).collect()
     index = {t: k for k, t in enumerate(dict.fromkeys([*(r["term"] for r in positive), *(r["term"] for r in useful)]))}
@@ -196,41 +208,63 @@ def learn(docs: DataFrame, labels: DataFrame) -> Classifier:
         dealt[start] += 1
     voters = Voters(lexicon)
 
-    def voting():
+    def finder():
         vote = voters.voter()
         tell = Memo(lambda w: tuple(index[t] for t in terms_of_word(w) if t in index), 150_000)
+        return vote, lambda words: sorted({k for w in words for k in tell[w]})
+
+    def anchored():
+        vote, find = finder()
 
         def out(row):
             words = distinct_words(row["text"])
-            yield vote(row["text"], words), row["toxic"], sorted({k for w in words for k in tell[w]})
+            yield vote(row["text"], words), row["toxic"], find(words)
 
         return out
 
-    drawn = map_rows(sample.select("text", "toxic"), voting, "mask bigint, toxic int, found array<int>").collect()
+    drawn = map_rows(sample, anchored, "mask bigint, toxic int, found array<int>").collect()
+    drawn.sort(key=lambda r: (r["mask"], r["toxic"], r["found"]))
+    votes, y = bits([r["mask"] for r in drawn], voters.n), np.array([r["toxic"] for r in drawn])
+    # A first model, of the anchors alone, tells which texts to draw more often; how likely each kind is comes from the labels.
+    first = fit_label_model(votes, np.zeros(len(votes)), votes, y, rounds=1)
+    total, toxic_share = docs.count(), min(max(labelled.get(1, 0) / max(sum(labelled.values()), 1), 0.005), 0.5)
+    draw = [int(min(1.0, n / max(total * s, 1)) * (1 << 40)) for n, s in ((CLEAN, 1 - toxic_share), (TOXIC, toxic_share))]
 
     def all_votes():
-        vote = voters.voter()
+        vote, find = finder()
+        likely = Memo(lambda mask: bool(first.posterior(bits([mask], voters.n))[0] >= 0.5), 100_000)
 
         def out(rows):
-            return Counter(vote(r["text"], distinct_words(r["text"])) for r in rows).items()
+            seen = Counter()
+            for r in rows:
+                words = distinct_words(r["text"])
+                mask = vote(r["text"], words)
+                seen[mask] += 1
+                if r["draw"] < draw[likely[mask]]:
+                    yield mask, None, find(words)
+            for mask, n in seen.items():
+                yield mask, n, None
 
         return out
 
-    patterns = map_rows(docs.select("text"), all_votes, "mask bigint, n bigint", chunks=True).groupBy("mask").agg(F.sum("n").alias("n")).collect()
-    drawn.sort(key=lambda r: (r["mask"], r["toxic"], r["found"]))
-    patterns.sort(key=lambda r: r["mask"])
-    votes, y = bits(np.array([r["mask"] for r in drawn]), voters.n), np.array([r["toxic"] for r in drawn])
-    model = fit_label_model(bits(np.array([r["mask"] for r in patterns]), voters.n), np.array([r["n"] for r in patterns]), votes, y)
-    x = np.zeros((len(drawn), len(index)), np.float32)
-    for k, r in enumerate(drawn):
-        x[k, r["found"]] = 1
-    p = np.clip(model.posterior(votes), 1e-6, 1 - 1e-6)
-    odds = p / (1 - p) * (TRUST / (1 - TRUST)) ** (2 * y - 1)  # the row's own label is one more voter
-    return fit_classifier(x, odds / (1 + odds), y, index)
+    voted = cut(map_rows(docs.select("text", F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)).alias("draw")), all_votes, "mask bigint, n bigint, found array<int>", chunks=True))
+    patterns = voted.where("n IS NOT NULL").groupBy("mask").agg(F.sum("n").alias("n")).orderBy("mask").collect()  # 2 ** voters at most
+    rows = sorted(voted.where("n IS NULL").select("mask", "found").collect())  # about CLEAN + TOXIC
+    model = fit_label_model(bits([r["mask"] for r in patterns], voters.n), np.array([r["n"] for r in patterns]), votes, y)
+
+    def features(found):
+        x = np.zeros((len(found), len(index)), np.float32)
+        for k, at in enumerate(found):
+            x[k, at] = 1
+        return x
+
+    x = features([r["found"] for r in rows])
+    return fit_classifier(x, model.posterior(bits([r["mask"] for r in rows], voters.n)), features([r["found"] for r in drawn]), y, index)
 
 
 def score(docs: DataFrame, classifier: Classifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, score`` for every row, from the text alone. Null and empty texts score the bias alone. Ids may be null or repeat."""
+    """``doc_id, score`` for every row, from the text alone. Null and empty texts score the bias alone; long
+    texts are read whole. Ids may be null or repeat; other columns are ignored; an empty table gives no rows."""
     kind = dict(docs.dtypes)[id_col]
     sent = Shared(docs.sparkSession, classifier)  # at most TERMS terms
 
