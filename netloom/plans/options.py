@@ -52,6 +52,14 @@ CHOICES: dict[str, tuple] = {
     "Iterative_Refinement": ("aftermg", "never", "always"),
 }
 
+#: Options that have no effect here: any value but the default raises when a partitioning run begins.
+UNSUPPORTED = (
+    "LoadbalanceAdjust", "Metric", "Discard_Free_Nets", "SquareMatrix_DistributeVectorsEqual", "SquareMatrix_DistributeVectorsEqual_AddDummies", "SymmetricMatrix_UseSingleEntry",
+    "SymmetricMatrix_SingleEntryType", "Coarsening_NrMatchArbitrary", "Coarsening_MaxNrVtxInMatch", "Coarsening_VtxMaxFractionOfWeight", "Coarsening_MatchingStrategy",
+    "Coarsening_MatchingATAMatcher", "Coarsening_MatchingATAFinder", "Coarsening_FineSwitchLevel", "Coarsening_InprodMatchingOrder", "Coarsening_NetScaling", "Coarsening_MatchIdenticalFirst",
+    "KLFM_InitPart_MaxNrLoops", "KLFM_InitPart_MaxNrNoGainMoves", "OutputFormat", "OutputMode", "Permute", "EnforceSymmetricPermutation",
+)
+
 
 @dataclass(frozen=True)
 class Options:
@@ -84,6 +92,11 @@ class Options:
         if self["Coarsening_MatchingATAMatcher"] == "greedy" and self["Coarsening_MaxNrVtxInMatch"] != 2:
             raise ValueError("greedy matching makes groups of two only")
 
+    def require_supported(self) -> None:
+        """Raises if an option that has no effect here was set to something else than its default."""
+        if wrong := [name for name in UNSUPPORTED if self[name] != CHOICES[name][0]]:
+            raise NotImplementedError(f"not supported: {', '.join(f'{name} {self[name]}' for name in wrong)}")
+
     def __getitem__(self, name: str):
         return self.values.get(name, CHOICES[name][0])
 

@@ -2,7 +2,8 @@
 
 All parts of one level are split at the same time: each part's nonzeros go to one task (``applyInPandas``), which builds the
 hypergraph model, bisects it by the multilevel kernel and improves the result. A part with more pins than
-``KERNEL_PINS`` is first coarsened by DataFrame steps (best neighbours that name each other are merged) until it fits, so no task gets more than a bounded hypergraph.
+``KERNEL_PINS`` has the same model built and coarsened by DataFrame steps until it fits, so no task gets more than a bounded
+hypergraph, and the same strategies and bounds hold.
 """
 
 from __future__ import annotations
@@ -47,11 +48,11 @@ def split_bounds(weight: int, procs: int, maxweight: int, strategy: str = "const
     low = procs // 2
     high = procs - low
     eps = maxweight * procs / weight - 1 if weight else 0.0
-    levels = max(math.ceil(math.log2(procs)), 1)
 
     def most(q: int) -> int:
         if q == 1:
             return maxweight
+        levels = math.ceil(math.log2(q)) + 1  # this split and those of the half
         delta = {"constant": eps / levels, "increase": eps / (2 * q), "decrease": eps / 2}[strategy]
         return min(math.floor((1 + delta) * weight * q / procs), maxweight * q)
 
@@ -67,6 +68,11 @@ def _model(i: np.ndarray, j: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndar
     if kind == "finegrain":
         t = np.arange(len(i))
         return np.r_[t, t], np.r_[2 * i, 2 * j + 1], t
+    if kind == "symfinegrain":  # an entry and its mirror image are one vertex, row k and column k one net
+        low, high = np.minimum(i, j), np.maximum(i, j)
+        _, t = np.unique(np.column_stack([low, high]), axis=0, return_inverse=True)
+        t = t.ravel()
+        return np.r_[t, t], np.r_[low, high], t
     _, ri, rc = np.unique(i, return_inverse=True, return_counts=True)
     _, ci, cc = np.unique(j, return_inverse=True, return_counts=True)
     with_col = (rc[ri] == 1) | ((cc[ci] != 1) & (rc[ri] >= cc[ci]))
@@ -91,7 +97,18 @@ def components_of(i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array([number.setdefault(find(("r", a)), len(number)) for a in i.tolist()])
 
 
-def bisect(i: np.ndarray, j: np.ndarray, caps: tuple[int, int], options: Options, seed: int) -> np.ndarray:
+def kinds_of(options: Options, level: int, m: int, n: int) -> list[str]:
+    """The models that a strategy tries on a part with ``m`` rows and ``n`` columns at a level of the recursion."""
+    name = options["SplitStrategy"]
+    ratio = "onedimrow" if m > n else "onedimcol"
+    if name == "alternate":
+        first = {"row": "onedimrow", "col": "onedimcol", "ratio": ratio}[options["Alternate_FirstDirection"]]
+        turn = {"onedimrow": "onedimcol", "onedimcol": "onedimrow"}
+        return [turn[first] if level % 2 else first]
+    return {"localbest": ["onedimrow", "onedimcol"], "hybrid": ["onedimrow", "onedimcol", "finegrain"], "localratio": [ratio]}.get(name, [name])
+
+
+def bisect(i: np.ndarray, j: np.ndarray, caps: tuple[int, int], options: Options, seed: int, level: int = 0) -> np.ndarray:
     """Side 0 or 1 of each entry."""
     if options["ZeroVolumeSearch"] == "yes":
         comp = components_of(i, j)
@@ -100,13 +117,10 @@ def bisect(i: np.ndarray, j: np.ndarray, caps: tuple[int, int], options: Options
             return np.array(bins)[comp]
     if options["SplitMethod"] == "simple":
         return (np.arange(len(i)) >= min(caps[0], max(len(i) - caps[1], round(len(i) * caps[0] / sum(caps))))).astype(int)
-    name = options["SplitStrategy"]
-    kinds = {"localbest": ["onedimrow", "onedimcol"], "hybrid": ["onedimrow", "onedimcol", "finegrain"]}.get(name, [name])
-    if name in ("localratio", "alternate"):
-        kinds = ["onedimrow" if len(np.unique(i)) > len(np.unique(j)) else "onedimcol"]
+    kinds = kinds_of(options, level, len(np.unique(i)), len(np.unique(j)))
     best = None
     for kind in kinds:
-        vertex, net, of = _model(i, j, "finegrain" if kind == "symfinegrain" else kind)
+        vertex, net, of = _model(i, j, kind)
         weight = dict(zip(*(x.tolist() for x in np.unique(of, return_counts=True)), strict=True))
         h, names = build(vertex, net, weight)
         side, _ = multilevel(
@@ -174,33 +188,45 @@ class Partition:
     feasible: bool
 
 
-def coarsen(vtx: DataFrame, pin: DataFrame, target: int, max_net: int = 1000, rounds: int = 30) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vtx, pin, map(v, grp)) with at most ``target`` pins if handshakes still shrink it: distributed coarsening for large
-    hypergraphs. Neighbours are sought in nets of at most ``max_net`` pins; larger nets stay in the hypergraph."""
+def coarsen(vtx: DataFrame, pin: DataFrame, target: int, max_net: int = 1000, rounds: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vtx, pin, map(v, grp)) with at most ``target`` pins and vertices: distributed coarsening for large hypergraphs.
+
+    Best neighbours that name each other are merged; they are sought in nets of at most ``max_net`` pins, as the pairs of larger
+    ones grow with the square of their size (such nets stay in the hypergraph and are cut like others). Where that shrinks
+    the hypergraph no more, light vertices are merged by a hash, which halves their number, so the target is always met.
+    """
     whole = vtx.select("v", F.col("v").alias("grp"))
-    before = pin.count()
+    before = vtx.count() + pin.count()
+    stalled = False
     for _ in range(rounds):
         if before <= target:
-            break
-        best = hypergraph.best_neighbour(hypergraph.similarity(pin, "min", max_net=max_net), pin.groupBy("v").agg(F.count("*").alias("deg")))
-        pairs = cut(hypergraph.mutual_pairs(best))
-        match = vtx.select("v").join(pairs.select(F.col("w").alias("v"), F.col("v").alias("grp")), "v", "left").select("v", F.coalesce("grp", "v").alias("grp"))
+            return vtx, pin, whole
+        if stalled:
+            mean = vtx.agg(F.avg("wgt")).first()[0]
+            spot = F.when(F.col("wgt") <= 4 * mean, F.pmod(F.xxhash64("v"), F.lit(max(vtx.count() // 2, 1))))
+            least = vtx.select("v", spot.alias("spot")).where("spot IS NOT NULL").groupBy("spot").agg(F.min("v").alias("grp"))
+            match = vtx.select("v", spot.alias("spot")).join(least, "spot", "left").select("v", F.coalesce("grp", "v").alias("grp"))
+        else:
+            best = hypergraph.best_neighbour(hypergraph.similarity(pin, "min", max_net=max_net), pin.groupBy("v").agg(F.count("*").alias("deg")))
+            pairs = cut(hypergraph.mutual_pairs(best))
+            match = vtx.select("v").join(pairs.select(F.col("w").alias("v"), F.col("v").alias("grp")), "v", "left").select("v", F.coalesce("grp", "v").alias("grp"))
         vtx, pin = (cut(x) for x in hypergraph.contract(vtx, pin, match))
-        whole = cut(whole.join(match.withColumnsRenamed({"v": "grp", "grp": "to"}), "grp").select("v", F.col("to").alias("grp")))
-        after = pin.count()
-        if after > 0.95 * before:
-            break
+        whole = cut(whole.join(match.select(F.col("v").alias("grp"), F.col("grp").alias("to")), "grp").select("v", F.col("to").alias("grp")))
+        after = vtx.count() + pin.count()
+        stalled = after > 0.95 * before
         before = after
-    return vtx, pin, whole
+    raise RuntimeError(f"coarsening did not reach {target} pins in {rounds} rounds")
 
 
 def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None = None, on_split: Callable[[int, DataFrame], bool] | None = None) -> Partition:
     """``nz(i, j, ..., part)`` over parts 0..p-1 with at most (1 + eps) of the mean weight each.
 
     ``on_split(level, nz)`` sees each level; a false answer stops the recursion. ``feasible`` tells whether every part is
-    within the bound. Same seed, same result, however the rows are spread. Without rows there is nothing to split.
+    within the bound. A result whose volume exceeds the guaranteed bound gives way to one that keeps it (``CheckUpperBound``).
+    Options that aren't implemented raise unless they have their default. Same seed, same result, however the rows are spread. Without rows there is nothing to split.
     """
     options = options or Options()
+    options.require_supported()
     total = nz.count()
     maxweight = math.floor((1 + eps) * total / p)
     current = cut(nz.drop("part").withColumns({"part": F.lit(0), "procs": F.lit(p)}))
@@ -216,7 +242,7 @@ def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None
             q = int(pdf["part"].iloc[0])
             low, high, cap_low, cap_high = bounds[q]
             pdf = pdf.sort_values(["i", "j"], ignore_index=True)
-            side = bisect(pdf["i"].to_numpy(), pdf["j"].to_numpy(), (cap_low, cap_high), options, seed + 1000 * level + q)
+            side = bisect(pdf["i"].to_numpy(), pdf["j"].to_numpy(), (cap_low, cap_high), options, seed + 1000 * level + q, level)
             pdf["part"] = np.where(side == 0, q, q + low).astype(np.int32)
             pdf["procs"] = np.where(side == 0, low, high).astype(np.int32)
             return pdf[columns]
@@ -225,32 +251,70 @@ def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None
         out = current.where("procs = 1").unionByName(small)
         for q, sides in maps.items():
             low, high, *_ = bounds[q]
-            mine = current.where(F.col("part") == q).join(sides, "i")
+            mine = current.where(F.col("part") == q).join(sides, ["i", "j"])
             out = out.unionByName(mine.withColumns({"part": F.when(F.col("side") == 0, q).otherwise(q + low).cast("int"), "procs": F.when(F.col("side") == 0, low).otherwise(high).cast("int")}).drop("side"))
         current = cut(out)
         level += 1
         if on_split and not on_split(level, current.drop("procs")):
             break
+    if options["CheckUpperBound"] == "yes" and p > 1 and total and current.where("procs > 1").isEmpty():
+        m, n = nz.agg(F.countDistinct("i"), F.countDistinct("j")).first()
+        if sum(metrics.volumes(current, a).first()["vol"] for a in ("row", "col")) > (min(m, n) + 1) * (p - 1):
+            current = cut(upper_bound_partition(nz, p).withColumn("procs", F.lit(1)))
     heaviest = current.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     return Partition(current.drop("procs"), maxweight, heaviest <= maxweight)
 
 
-def _coarse_sides(nz: DataFrame, caps: tuple[int, int], options: Options, level: int) -> DataFrame:
-    """``i, side`` for a part too large for one task: rows as vertices, coarsened in Spark, then the kernel on what is left."""
-    vtx, pin = hypergraph.line_model(nz, "row")
-    vtx, pin, whole = coarsen(cut(vtx), cut(pin), KERNEL_PINS)
-    if pin.count() > 8 * KERNEL_PINS:
-        raise ValueError("the part cannot be coarsened far enough for one task")
-    packed = pin.join(vtx, "v").select("v", "n", "wgt", F.lit(0).alias("g"))
-    seed = options["Seed"] + level
+def _large_model(nz: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
+    """(entries with their vertex ``of``, ``pin(v, n)``) of :func:`_model`, as DataFrames; an entry's vertex is a hash of its place
+    where it has one of its own."""
+    row, col = 2 * F.col("i"), 2 * F.col("j") + 1
+    if kind in ("finegrain", "symfinegrain"):
+        low, high = (F.least("i", "j"), F.greatest("i", "j")) if kind == "symfinegrain" else (F.col("i"), F.col("j"))
+        nets = (low, high) if kind == "symfinegrain" else (row, col)
+        at = cut(nz.select("i", "j", F.xxhash64(low, high).alias("of"), F.array(*nets).alias("nets")))
+        return at.drop("nets"), at.select(F.col("of").alias("v"), F.explode("nets").alias("n")).distinct()
+    if kind in ("onedimrow", "onedimcol"):
+        at = nz.select("i", "j", (row if kind == "onedimrow" else col).alias("of"), (col if kind == "onedimrow" else row).alias("n"))
+        return at.drop("n"), at.select(F.col("of").alias("v"), "n").distinct()
+    rows, cols = (nz.groupBy(c).agg(F.count("*").alias(f"n_{c}")) for c in "ij")
+    with_col = (F.col("n_i") == 1) | ((F.col("n_j") != 1) & (F.col("n_i") >= F.col("n_j")))
+    at = cut(nz.join(rows, "i").join(cols, "j").select("i", "j", F.when(with_col, col).otherwise(row).alias("of"), F.when(with_col, row).otherwise(col).alias("n")))
+    pin = at.select(F.col("of").alias("v"), "n").distinct()
+    both = pin.select("v").distinct().join(pin.select(F.col("n").alias("v")).distinct(), "v").select("v", F.col("v").alias("n"))
+    return at.drop("n"), pin.union(both).distinct()
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["v", "n"])
-        h, names = build(pdf["v"].to_numpy(), pdf["n"].to_numpy(), dict(zip(pdf["v"].tolist(), pdf["wgt"].tolist(), strict=True)))
-        return pd.DataFrame({"grp": names, "side": np.array(multilevel(h, caps, seed=seed)[0], np.int32)})
 
-    side = packed.groupBy("g").applyInPandas(kernel, "grp long, side int")
-    return whole.join(side, "grp", "left").select(F.col("v").alias("i"), F.coalesce("side", F.pmod(F.xxhash64("v"), F.lit(2)).cast("int")).alias("side"))
+def _coarse_sides(nz: DataFrame, caps: tuple[int, int], options: Options, level: int) -> DataFrame:
+    """``i, j, side`` for a part too large for one task: the strategy's models, each coarsened in Spark, then the kernel on what is
+    left; the one with the least excess and volume is taken. All vertices go through the kernel, so the caps hold for them."""
+    m, n = nz.agg(F.countDistinct("i"), F.countDistinct("j")).first()
+    best, seed = None, options["Seed"] + level
+    for kind in kinds_of(options, level, m, n):
+        entry, pin = _large_model(nz, kind)
+        entry = cut(entry)
+        vtx = cut(entry.groupBy(F.col("of").alias("v")).agg(F.count("*").alias("wgt")))
+        vtx, pin, whole = coarsen(vtx, cut(pin), KERNEL_PINS)
+        # A vertex without a net of its own gets one that nobody shares.
+        packed = vtx.join(pin, "v", "left").select("v", F.coalesce("n", -1 - F.abs("v")).alias("n"), "wgt", F.lit(0).alias("g"))
+
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["v", "n"])
+            h, names = build(pdf["v"].to_numpy(), pdf["n"].to_numpy(), dict(zip(pdf["v"].tolist(), pdf["wgt"].tolist(), strict=True)))
+            side, _ = multilevel(
+                h, caps, seed=seed, coarsest=options["Coarsening_NrVertices"], levels=options["Coarsening_MaxCoarsenings"], restarts=options["KLFM_InitPart_NrRestarts"],
+                stop_ratio=options["Coarsening_StopRatio"], scaling=options["Coarsening_InprodScaling"], passes=options["KLFM_Refine_MaxNrLoops"], no_gain=options["KLFM_Refine_MaxNrNoGainMoves"],
+            )
+            return pd.DataFrame({"grp": names, "side": np.array(side, np.int32)})
+
+        side = cut(packed.groupBy("g").applyInPandas(kernel, "grp long, side int"))
+        found = cut(entry.join(whole.join(side, "grp").select(F.col("v").alias("of"), "side"), "of").select("i", "j", "side"))
+        load = {r["side"]: r["n"] for r in found.groupBy("side").agg(F.count("*").alias("n")).collect()}
+        over = sum(max(load.get(k, 0) - caps[k], 0) for k in (0, 1))
+        volume = sum(metrics.volumes(found.withColumnRenamed("side", "part"), a).first()["vol"] for a in ("row", "col"))
+        if best is None or (over, volume) < best[0]:
+            best = ((over, volume), found)
+    return best[1]
 
 
 def upper_bound_partition(nz: DataFrame, p: int) -> DataFrame:

@@ -133,6 +133,43 @@ def test_partition_balances_a_tridiagonal_matrix(spark, strategy):
         assert sum(metrics.volumes(out.nz, a).first()["vol"] for a in ("row", "col")) <= 8 * (p - 1)
 
 
+def arrow_matrix(spark, n):
+    """Tridiagonal with a full first row: one net that no split leaves whole."""
+    return spark.createDataFrame(sorted({(a, b) for a in range(n) for b in (a - 1, a, a + 1) if 0 <= b < n} | {(0, b) for b in range(n)}), "i long, j long")
+
+
+@pytest.mark.parametrize("strategy", ["mediumgrain", "localratio", "finegrain", "symfinegrain"])
+def test_large_parts_keep_strategy_and_bounds(spark, monkeypatch, strategy):
+    from netloom.plans import partition as module
+
+    nz = arrow_matrix(spark, 80)
+    options = Options({"SplitStrategy": strategy, "CheckUpperBound": "no"})
+    small = partition(nz, 2, 0.1, options)
+    monkeypatch.setattr(module, "KERNEL_PINS", 120)
+    large = partition(nz, 2, 0.1, options)
+    volume = [sum(metrics.volumes(x.nz, a).first()["vol"] for a in ("row", "col")) for x in (small, large)]
+    print(strategy, volume)
+    assert large.feasible and large.nz.select("i", "j").exceptAll(nz).isEmpty() and large.nz.count() == nz.count()
+    assert volume[1] <= max(3 * volume[0], volume[0] + 12)
+
+
+def test_alternate_turns_with_the_level():
+    from netloom.plans.partition import kinds_of
+
+    options = Options({"SplitStrategy": "alternate", "Alternate_FirstDirection": "row"})
+    assert [kinds_of(options, k, 5, 9) for k in range(3)] == [["onedimrow"], ["onedimcol"], ["onedimrow"]]
+    assert kinds_of(Options({"SplitStrategy": "alternate"}), 1, 5, 9) == ["onedimrow"]
+
+
+def test_split_bounds_leave_room_for_the_splits_of_each_half():
+    assert split_bounds(1000, 5, 230)[2:] == (400 + int(400 * 0.15 / 2), 600 + int(600 * 0.15 / 3))
+
+
+def test_unsupported_options_raise(spark):
+    with pytest.raises(NotImplementedError):
+        partition(arrow_matrix(spark, 4), 2, 0.5, Options({"Coarsening_MatchingStrategy": "random"}))
+
+
 def test_options_reject_what_is_unknown():
     assert Options.parse("Seed 7 # a comment\nMetric cutnet\n")["Seed"] == 7
     for bad in ({"Nope": 1}, {"Metric": "x"}, {"Seed": "abc"}, {"Metric": "cutnet", "Discard_Free_Nets": "no"}):
