@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import shared_folder
 from ..functions.hyper import build, exact_bipartition, gains, initial_side, multilevel, path_matching, refine, subset_sum
 from ..functions.vector_kernels import by_local_bound, by_sums, costs, equal_owners, improve, measure, pairs_optimal
 from ..operators import matrix, metrics, ordinal
@@ -32,7 +32,12 @@ def all_true(*names):
 def kernel(df, key, f, **names):
     """Runs ``f(pdf) -> dict of booleans`` once per group of ``key`` and ands the answers."""
     columns = list(names)
-    out = df.groupBy(key).applyInPandas(lambda pdf: pd.DataFrame([[bool(f(pdf)[c]) for c in columns]], columns=columns), ", ".join(f"{c} boolean" for c in columns))
+
+    def run(pdf):
+        answer = f(pdf)
+        return pd.DataFrame([[bool(answer[c]) for c in columns]], columns=columns)
+
+    out = df.groupBy(key).applyInPandas(run, ", ".join(f"{c} boolean" for c in columns))
     return out.agg(*[F.bool_and(c).alias(c) for c in columns])
 
 
@@ -103,7 +108,8 @@ def equal_vectors(spark, d):
 
 @query(all_true("exact_found", "differencing_sound"))
 def kk_subset_sum(spark, d):
-    items = table(spark, d, "lineitem").where("l_orderkey < 40").select((F.col("l_orderkey") % 4).alias("g"), F.col("l_quantity").cast("int").alias("w"))
+    """The parts of every supplier, weighted by quantity, dealt into two bins; the exact search on the lightest of them."""
+    items = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("g"), "l_partkey").agg(F.sum("l_quantity").cast("int").alias("w"))
 
     def f(pdf):
         w = sorted(pdf["w"].tolist())
@@ -184,8 +190,8 @@ def vector_distribution(spark, d):
 
 @query(all_true("proven", "feasible", "no_worse_than_heuristic"))
 def exact_split(spark, d):
-    """The 14 smallest rows of sq by number, split exactly and by the heuristic."""
-    m = sq(spark, d).where("i < 14").withColumn("g", F.lit(0))
+    """Every block of 14 rows of sq, split exactly and by the heuristic."""
+    m = sq(spark, d).withColumn("g", F.floor(F.col("i") / 14))
 
     def f(pdf):
         pdf = pdf.sort_values(["i", "j"])
@@ -204,15 +210,10 @@ def exact_split(spark, d):
 def matrix_market_round_trip(spark, d):
     """sq written as Matrix-Market text in the shared folder and read again."""
     m = ordinal.ordinal(sq(spark, d), name="t")
-    top = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="netloom-")).rstrip("/")
-    path = f"{top}/{'sq'}-{abs(hash(d)) % 10**8}.mtx"
+    path = f"{shared_folder(spark)}/sq-{uuid.uuid4().hex}.mtx"
     meta = matrix_market.MatrixMeta(m=300, n=300, nnz=m.count())
     matrix_market.write(matrix_market.Matrix(meta, m), path)
-    out = matrix_market.read(spark, path).nz.select("i", "j", "re")
-    rows = spark.createDataFrame(out.toPandas(), "i long, j long, re double")  # a few hundred rows: the file can go
-    if path.startswith("/"):
-        shutil.rmtree(path, ignore_errors=True)
-    return rows
+    return matrix_market.read(spark, path).nz.select("i", "j", "re")
 
 
 @query("SELECT user_id AS i, CAST(COUNT(DISTINCT event_type) AS INT) AS lam FROM events GROUP BY user_id")
@@ -222,12 +223,12 @@ def streaming_lambdas(spark, d):
 
 
 @query(
-    f"WITH {catalog.DNZ}, w AS (SELECT part, COUNT(*) AS weight FROM dnz WHERE part < 3 GROUP BY part), s AS (SELECT part, weight, weight * 16.0 / SUM(weight) OVER () AS share FROM w), "
+    f"WITH {catalog.DNZ}, w AS (SELECT part, COUNT(*) AS weight FROM dnz GROUP BY part), s AS (SELECT part, weight, weight * 16.0 / SUM(weight) OVER () AS share FROM w), "
     "f AS (SELECT *, GREATEST(1, CAST(FLOOR(share) AS BIGINT)) AS base FROM s), r AS (SELECT *, ROW_NUMBER() OVER (ORDER BY base - share, part) AS k, 16 - SUM(base) OVER () AS spare FROM f) "
     "SELECT part, weight, CAST(base + CASE WHEN k <= spare THEN 1 ELSE 0 END AS BIGINT) AS procs FROM r"
 )
 def balance_parts(spark, d):
-    w = matrix.part_weights(catalog.dnz(spark, d).where("part < 3"))
+    w = matrix.part_weights(catalog.dnz(spark, d))
     return metrics.balance(w, 16)
 
 

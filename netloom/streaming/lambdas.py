@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import shared_folder
+
 
 def lambda_updates(nonzeros: DataFrame, line: str, part: str) -> DataFrame:
     """``line, lam`` of a streaming (or static) table of nonzeros: the state is one row per distinct (line, part)."""
@@ -21,8 +22,7 @@ def lambda_stream(spark: SparkSession, path: str, line: str, part: str) -> DataF
     folder, _, file = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder) if file.endswith(".parquet") and _is_file(spark, path) else spark.readStream.schema(schema).parquet(path)
     distinct = source.select(line, part).dropDuplicates([line, part])
-    top = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="netloom-")).rstrip("/")
-    out = f"{top}/{name}"
+    out = f"{shared_folder(spark)}/{name}"
     query = distinct.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return lambda_updates(spark.read.schema(source.select(line, part).schema).parquet(f"{out}/rows"), line, part).withColumnRenamed(line, "i")

@@ -138,14 +138,14 @@ def arrow_matrix(spark, n):
     return spark.createDataFrame(sorted({(a, b) for a in range(n) for b in (a - 1, a, a + 1) if 0 <= b < n} | {(0, b) for b in range(n)}), "i long, j long")
 
 
-@pytest.mark.parametrize("strategy", ["mediumgrain", "localratio", "finegrain", "symfinegrain"])
+@pytest.mark.parametrize("strategy", ["mediumgrain", "symfinegrain"])
 def test_large_parts_keep_strategy_and_bounds(spark, monkeypatch, strategy):
     from netloom.plans import partition as module
 
-    nz = arrow_matrix(spark, 80)
+    nz = arrow_matrix(spark, 40)
     options = Options({"SplitStrategy": strategy, "CheckUpperBound": "no"})
     small = partition(nz, 2, 0.1, options)
-    monkeypatch.setattr(module, "KERNEL_PINS", 120)
+    monkeypatch.setattr(module, "KERNEL_PINS", 110)
     large = partition(nz, 2, 0.1, options)
     volume = [sum(metrics.volumes(x.nz, a).first()["vol"] for a in ("row", "col")) for x in (small, large)]
     print(strategy, volume)
