@@ -176,12 +176,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     windows = Kept(fresh.select("doc_id", "k1", "text").mapInArrow(expand, f"doc_id {kind}, k1 bigint, at int, w1 bigint, w2 bigint"))
     owner = windows.df.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("w1", "w2", "first_id")
-    covered = windows.df.join(if_small(cut(owner), SMALL), ["w1", "w2"]).where("first_id < doc_id").groupBy("doc_id", "k1").agg(F.collect_list("at").alias("covered"))
+    covered = windows.df.join(cut(owner), ["w1", "w2"]).where("first_id < doc_id").groupBy("doc_id", "k1").agg(F.collect_list("at").alias("covered"))
     covered = cut(covered)
     windows.drop()
-    rows, places = covered.agg(F.count("*"), F.coalesce(F.sum(F.size("covered")), F.lit(0))).first()
-    if rows + places <= 10 * SMALL:  # 4 bytes each
-        covered = F.broadcast(covered)
 
     def apply():
         def rows(row):
