@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import forest, html, langid, lines, near_dup, substrings, tiling, toxicity, wordpiece
-from .common import read
+from . import forest, html, importance, langid, lines, near_dup, substrings, tiling, token_files, toxicity, whitening, wordpiece
+from .common import read, shared_folder
 from .packing import pack
 
 
@@ -75,9 +76,29 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark's texts, and the rank of those drawn."""
+    found = importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.documents.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the leading components of the distinct ones, with unit variance."""
+    vectors = read(spark, sf_dir, "embeddings")
+    model = whitening.fit_whitening(vectors)
+    return whitening.long_form(whitening.whiten(vectors, model), model)
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written to files of packed blocks and read back."""
+    folder = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    token_files.write_ids(read(spark, sf_dir, "documents"), folder)
+    return token_files.read_ids(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op4_html_extraction, op5_language_id, op6_benchmark_decontamination, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_packing, op2_substring_dedup, op3_token_counts, op4_html_extraction, op5_language_id, op6_benchmark_decontamination, op7_line_dedup, op8_quality_rules, op9_toxicity, op10_minhash_near_dedup, op11_importance_resampling, op12_embedding_whitening, op13_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": substrings.SQL, "op10_minhash_near_dedup": near_dup.SQL}
+    return {"op2_substring_dedup": substrings.SQL, "op10_minhash_near_dedup": near_dup.SQL, "op11_importance_resampling": importance.SQL}
