@@ -18,29 +18,33 @@ by Spark's own commit, lists those that count, so a repeated or lost task leaves
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, map_rows
 from .packing import _byte_letters
 
-MAGIC, VERSION, BLOCK, TOKENIZER, END_ID = b"NLTF", 1, 1024, "byte_bpe_50k.json", 0
+MAGIC, VERSION, BLOCK, TOKENIZER, END_ID = b"NLTF", 1, 4096, "byte_bpe_50k.json", 0
 HEAD, BLOCK_HEAD, FOOT = "<4sII", "<IBH", "<QQQQQ4s"
 #: Shares of a block's values that may set its width; the rest are exceptions.
 PERCENTILES = (0.5, 0.75, 0.9, 0.95, 1.0)
-#: Blocks packed at once, ids of a run of documents that one reading task takes at least, documents given to the writer at once.
-AT_ONCE, SECTION_IDS, READ_ROWS = 64, 1 << 20, 256
+#: Widths whose bits are numbers of numpy's.
+WHOLE_BYTES = {8: "u1", 16: "<u2", 32: "<u4"}
+#: Blocks packed at once, ids of a run of documents that one reading task takes at least, bytes of text encoded at once.
+AT_ONCE, SECTION_IDS, CHUNK_BYTES = 16, 1 << 20, 8 << 20
 #: Words whose ids a worker remembers, and the longest that it does.
-MEMO_WORDS, LONG_WORD = 300_000, 48
-#: Marks that often end a word.
-CLOSING = ".,;:!?"
+MEMO_WORDS, LONG_WORD = 600_000, 48
+#: Marks that may end a word: letters and such marks are two pre-tokens.
+CLOSING = string.punctuation.replace("'", "")
 
 
 def widths(values: np.ndarray) -> np.ndarray:
@@ -63,8 +67,12 @@ def pack_blocks(ids: np.ndarray) -> list[bytes]:
         rows = np.flatnonzero(chosen == width)
         values = rest[rows]
         over = values >> np.uint32(width) != 0 if width < 32 else np.zeros(values.shape, bool)
-        bits = np.unpackbits(np.where(over, 0, values).astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8)
-        packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
+        low_bits = np.where(over, 0, values)
+        if width in WHOLE_BYTES:
+            packed = low_bits.astype(WHOLE_BYTES[width])
+        else:
+            bits = np.unpackbits(low_bits.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little") if width else np.empty(0, np.uint8)
+            packed = np.packbits(bits.reshape(len(rows), -1), axis=1, bitorder="little")
         for k, row in enumerate(rows.tolist()):
             places = np.flatnonzero(over[k])
             out[row] = struct.pack(BLOCK_HEAD, low[row], width, len(places)) + packed[k].tobytes() + places.astype("<u2").tobytes() + values[k, places].astype("<u4").tobytes()
@@ -76,7 +84,9 @@ def unpack_block(data: memoryview, n: int) -> np.ndarray:
     low, width, over = struct.unpack_from(BLOCK_HEAD, data)
     at, size = struct.calcsize(BLOCK_HEAD), (n * width + 7) // 8
     out = np.zeros((n, 4), np.uint8)
-    if width:
+    if width in WHOLE_BYTES:
+        out = np.frombuffer(data, WHOLE_BYTES[width], n, at).astype("<u4")
+    elif width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
         whole = np.zeros((n, 8 * -(-width // 8)), np.uint8)
         whole[:, :width] = bits
@@ -166,78 +176,108 @@ class Reader:
         return np.concatenate(ids)[start - first * self.block : end - first * self.block]
 
 
-class Words(Memo):
-    """A memo that doesn't keep long words."""
+#: What is white space beside the blank; a word that is empty or has some within isn't in the usual case.
+SPACE = "\t\n\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNEVEN = f"(?s)^[\r\n]?$|^[{SPACE.replace(chr(10), '').replace(chr(13), '')}]|.[{SPACE}]"
 
-    def __missing__(self, word: str):
-        return super().__missing__(word) if len(word) <= LONG_WORD else self.make(word)
 
+class Words(dict):
+    """word -> ids of ``lead + word``, filled on demand; emptied when it is full, and long words aren't kept."""
 
-def encoder(path: str):
-    """text -> its ids as little-endian 16 or 32-bit bytes, and the kind of these numbers.
+    def __init__(self, lead: str, whole: Callable[[str], bytes], pre_token: Callable[[str], bytes], marks: dict):
+        super().__init__()
+        self.lead, self.whole, self.pre_token, self.marks = lead, whole, pre_token, marks
+        self.plain = re.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > LONG_WORD:
+            return self.whole(self.lead + word)
+        stem = word.rstrip(CLOSING)
+        if not (stem.isalpha() and (stem.isascii() or self.plain(stem))):
+            ids = self.whole(self.lead + word)
+        elif len(stem) < len(word):  # letters, then marks: two pre-tokens
+            ids = self[stem] + self.marks[word[len(stem) :]]
+        else:
+            ids = self.pre_token(self.lead + word)
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+
+class Encoder:
+    """Texts -> their ids, many texts at once.
 
     The tokenizer's pre-tokens never run over a white space between other characters except at their start: of a run of
     white space the last character, if it is a blank, leads the next word, and what precedes it is a pre-token. So the ids of
-    a text are those of its words and runs, which are remembered. A text with a special token, or with a character that
+    a text are those of its words and runs. Where each white space is a blank or line end between two words, the usual case, Arrow
+    splits a batch of texts and finds its distinct words, and numpy lays their ids out. A text with a special token, or with a character that
     libraries don't agree to be white space, goes to the tokenizer whole.
     """
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    kind = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-    special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    odd = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", *special]
-    runs = re.compile(r"\s+|\S+").findall
-
-    def whole(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
-
-    model, plain, letters = tokenizer.model, re.compile("[!-~¡-¬®-įı-ɏ]+").fullmatch, _byte_letters()
-
-    def pre_token(piece: str) -> bytes:
-        return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))], kind).tobytes()
-
-    stems, marks = Memo(pre_token, MEMO_WORDS), Memo(pre_token, MEMO_WORDS)
 
-    def make(lead: str):
-        def ids_of(word: str) -> bytes:
-            stem = word.rstrip(CLOSING)
-            if stem.isalpha() and plain(stem):  # letters, then marks: two pre-tokens
-                return stems[lead + stem] + (marks[word[len(stem) :]] if len(stem) < len(word) else b"")
-            return whole(lead + word)
-
-        return ids_of
-
-    inner, first = Words(make(" "), MEMO_WORDS), Words(make(""), MEMO_WORDS // 4)
-    newline = whole("\n")
-
-    def encode(text: str | None) -> bytes:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else ("<u4", "I")
+        self.doubtful = ["\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u180e", *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
+        self.odd = ["\r", *self.doubtful]
+        self.runs, self.letters, self.model = re.compile(r"\s+|\S+").findall, _byte_letters(), self.tokenizer.model
+        marks = Memo(self.pre_token, MEMO_WORDS // 4)
+        self.inner, self.first = (Words(lead, self.whole, self.pre_token, marks) for lead in (" ", ""))
+        self.newline = self.whole("\n")
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def pre_token(self, piece: str) -> bytes:
+        piece = piece.replace(" ", self.letters[32]) if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(found := self.model.tokenize(piece))}{self.code}", *[t.id for t in found])
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text, as 32-bit numbers."""
+        out: list = [None] * len(texts)
+        rows = [k for k, text in enumerate(texts) if text and not any(x in text for x in self.odd)]
+        if rows:
+            words = pc.split_pattern(pa.array(["\r" + texts[k].replace("\n", " \n") for k in rows], pa.large_string()), " ")
+            coded = words.flatten().dictionary_encode()
+            uneven = pc.match_substring_regex(coded.dictionary, UNEVEN).to_numpy(zero_copy_only=False)
+            each = [b"" if odd else self._of(key) for key, odd in zip(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), uneven.tolist(), strict=True)]
+            ids, sizes = np.frombuffer(b"".join(each), self.kind), np.fromiter(map(len, each), np.int64, len(each)) // int(self.kind[-1])
+            index = coded.indices.to_numpy()
+            n, offsets = sizes[index], words.offsets.to_numpy()
+            ends = np.cumsum(n)
+            ids = ids[np.repeat((np.cumsum(sizes) - sizes)[index] - (ends - n), n) + np.arange(ends[-1])].astype("<u4")
+            at, odd = (np.concatenate([[0], x])[offsets] for x in (ends, np.cumsum(uneven[index])))
+            at, odd = at.tolist(), np.diff(odd).tolist()
+            for k, row in enumerate(rows):
+                if not odd[k]:
+                    out[row] = ids[at[k] : at[k + 1]]
+        return [np.frombuffer(self._uneven(text), self.kind).astype("<u4") if found is None else found for found, text in zip(out, texts, strict=True)]
+
+    def _of(self, key: str) -> bytes:
+        """A word after a blank; with \\r before it one that begins a text, with \\n one that begins a line."""
+        return self.first[key[1:]] if key[0] == "\r" else self.newline + self.first[key[1:]] if key[0] == "\n" else self.inner[key]
+
+    def _uneven(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if any(x in text for x in odd):
-            return whole(text)
-        if " ".join(text.split()) == text.replace("\n", " "):  # each white space is a blank or line end between words
-            lines = []
-            for line in text.split("\n"):
-                words = line.split(" ")
-                lines.append(first[words[0]] + b"".join(map(inner.__getitem__, words[1:])))
-            return newline.join(lines)
-        out, blank, pieces = [], False, runs(text)
+        if any(x in text for x in self.doubtful):
+            return self.whole(text)
+        out, blank, pieces = [], False, self.runs(text)
         for k, piece in enumerate(pieces):
             if not piece.isspace():
-                out.append(inner[piece] if blank else first[piece])
+                out.append(self.inner[piece] if blank else self.first[piece])
                 continue
             blank = piece[-1] == " " and k + 1 < len(pieces)
             if k + 1 == len(pieces):
-                out.append(first[piece])
+                out.append(self.first[piece])
             elif len(piece) > 1:
-                out.append(first[piece[:-1]])
+                out.append(self.first[piece[:-1]])
             if k + 1 < len(pieces) and not blank:
-                out.append(first[piece[-1]])
+                out.append(self.first[piece[-1]])
         return b"".join(out)
 
-    return encode, kind
-
 
 def _opened(uri: str):
     """The file system of a URI and the path in it."""
@@ -252,6 +292,18 @@ def qualified(spark: SparkSession, folder: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
+def in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    """Ids and texts, so many at once that their texts have about ``CHUNK_BYTES``."""
+    for batch in batches:
+        at = 0
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK_BYTES)))
+            some = batch.slice(at, end - at)
+            yield some.column(0).to_pylist(), some.column(1).to_pylist()
+            at = end
+
+
 def write_ids(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID, block: int = BLOCK) -> None:
     """Encodes every whole text, appends ``end_id`` and writes all ids below the new ``folder`` in ascending order of id.
 
@@ -272,24 +324,20 @@ def write_ids(docs: DataFrame, folder: str, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, kind = encoder(path)
-        end, part, name, writer, sections = np.array([end_id], "<u4"), TaskContext.get().partitionId(), "", None, []
-        for batch in batches:
-            for at in range(0, batch.num_rows, READ_ROWS):
-                some = batch.slice(at, READ_ROWS)
-                for doc_id, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                    if writer is None:
-                        name = f"{part:06d}-{uuid.uuid4().hex}.ids"
-                        system, place = _opened(files)
-                        system.create_dir(place, recursive=True)
-                        sink = system.open_output_stream(f"{place}/{name}")
-                        writer = Writer(sink, block)
-                    if not sections or sections[-1][-1] >= SECTION_IDS:
-                        sections.append([part, name, len(writer.ids), 0, writer.n, 0])
-                    before = writer.n
-                    writer.add(doc_id, np.concatenate([np.frombuffer(encode(text), kind).astype("<u4"), end]))
-                    sections[-1][3] += 1
-                    sections[-1][5] += writer.n - before
+        encode, end, part, name, writer, sections = Encoder(path), np.array([end_id], "<u4"), TaskContext.get().partitionId(), "", None, []
+        for ids, texts in in_chunks(batches):
+            if writer is None:
+                name = f"{part:06d}-{uuid.uuid4().hex}.ids"
+                system, place = _opened(files)
+                system.create_dir(place, recursive=True)
+                sink = system.open_output_stream(f"{place}/{name}")
+                writer = Writer(sink, block)
+            for doc_id, found in zip(ids, encode(texts), strict=True):
+                if not sections or sections[-1][-1] >= SECTION_IDS:
+                    sections.append([part, name, len(writer.ids), 0, writer.n, 0])
+                writer.add(doc_id, np.concatenate([found, end]))
+                sections[-1][3] += 1
+                sections[-1][5] += len(found) + 1
         if writer is not None:
             writer.close()
             sink.close()
