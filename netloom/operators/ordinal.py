@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.checkpoints import cut
+
 BLOCK = 1 << 16
 
 
@@ -101,3 +103,17 @@ def split_order(side: DataFrame, mode: str = "infix") -> DataFrame:
     rank = {"prefix": (1, 0, 2), "infix": (0, 1, 2), "postfix": (0, 2, 1)}[mode]
     cls = F.when(F.col("has_left") & F.col("has_right"), rank[1]).when(F.col("has_left"), rank[0]).when(F.col("has_right"), rank[2]).otherwise(3)
     return ordinal(side.withColumn("_class", cls.cast("long")), "_class", "idx").select("pos", "idx")
+
+
+def placed(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+    """0-based position of each row in ``order``, by one shuffle into ranges; no key needs to fit into one task.
+
+    Spark's counting id holds the partition above bit 33 and the place within it below; the sorted rows are checkpointed, so
+    counting the partitions and reading the rows see the same places. Rows that ``order`` can't tell apart come in any order.
+    """
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    pos = F.col("_first") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return rows.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, pos).drop("_part", "_place", "_first")

@@ -2,8 +2,8 @@
 
 All parts of one level are split at the same time: each part's nonzeros go to one task (``applyInPandas``), which builds the
 hypergraph model, bisects it by the multilevel kernel and improves the result. A part with more pins than
-``KERNEL_PINS`` has the same model built and coarsened by DataFrame steps until it fits, so no task gets more than a bounded
-hypergraph, and the same strategies and bounds hold.
+``KERNEL_PINS`` has the same model built and coarsened by DataFrame steps until it fits, and the split refined on every level on
+the way back, so no task gets more than a bounded hypergraph, and the same strategies and bounds hold.
 """
 
 from __future__ import annotations
@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checkpoints import cut
 from ..functions.hyper import build, multilevel, refine, subset_sum, upper_bound_parts
-from ..functions.vector_kernels import by_local_bound, by_sums, improve, measure, pairs_optimal
-from ..operators import hypergraph, metrics
+from ..operators import bids, hypergraph, matching, metrics, neighbours, refinement
 from ..operators.vectors import fill_unowned, reduced, unique_owners
 from .options import Options
 
@@ -188,30 +187,35 @@ class Partition:
     feasible: bool
 
 
-def coarsen(vtx: DataFrame, pin: DataFrame, target: int, max_net: int = 1000, rounds: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vtx, pin, map(v, grp)) with at most ``target`` pins and vertices: distributed coarsening for large hypergraphs.
+@dataclass(frozen=True)
+class Level:
+    """A hypergraph ``vtx(v, wgt)``, ``pin(v, n)`` and, unless it is the coarsest, the groups ``match(v, grp)`` that the next one is made of."""
+
+    vtx: DataFrame
+    pin: DataFrame
+    match: DataFrame | None = None
+
+
+def coarsen(vtx: DataFrame, pin: DataFrame, target: int, rounds: int = 60) -> list[Level]:
+    """The levels down to one with at most ``target`` pins and vertices: distributed coarsening for large hypergraphs.
 
-    Best neighbours that name each other are merged; they are sought in nets of at most ``max_net`` pins, as the pairs of larger
-    ones grow with the square of their size (such nets stay in the hypergraph and are cut like others). Where that shrinks
-    the hypergraph no more, light vertices are merged by a hash, which halves their number, so the target is always met.
+    Vertices are merged along a maximal matching of candidate neighbours, whose number is linear in pins. Where that shrinks
+    the hypergraph no more, as few vertices have a net in common, light ones are merged by a hash, which halves their number, so the target is always met.
     """
-    whole = vtx.select("v", F.col("v").alias("grp"))
-    before = vtx.count() + pin.count()
-    stalled = False
+    levels, before, stalled = [], vtx.count() + pin.count(), False
     for _ in range(rounds):
         if before <= target:
-            return vtx, pin, whole
+            return [*levels, Level(vtx, pin)]
         if stalled:
             mean = vtx.agg(F.avg("wgt")).first()[0]
             spot = F.when(F.col("wgt") <= 4 * mean, F.pmod(F.xxhash64("v"), F.lit(max(vtx.count() // 2, 1))))
             least = vtx.select("v", spot.alias("spot")).where("spot IS NOT NULL").groupBy("spot").agg(F.min("v").alias("grp"))
             match = vtx.select("v", spot.alias("spot")).join(least, "spot", "left").select("v", F.coalesce("grp", "v").alias("grp"))
         else:
-            best = hypergraph.best_neighbour(hypergraph.similarity(pin, "min", max_net=max_net), pin.groupBy("v").agg(F.count("*").alias("deg")))
-            pairs = cut(hypergraph.mutual_pairs(best))
-            match = vtx.select("v").join(pairs.select(F.col("w").alias("v"), F.col("v").alias("grp")), "v", "left").select("v", F.coalesce("grp", "v").alias("grp"))
+            match = matching.groups(cut(neighbours.near_similarity(pin)), vtx)
+        match = cut(match)
+        levels.append(Level(vtx, pin, match))
         vtx, pin = (cut(x) for x in hypergraph.contract(vtx, pin, match))
-        whole = cut(whole.join(match.select(F.col("v").alias("grp"), F.col("grp").alias("to")), "grp").select("v", F.col("to").alias("grp")))
         after = vtx.count() + pin.count()
         stalled = after > 0.95 * before
         before = after
@@ -287,16 +291,16 @@ def _large_model(nz: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
 
 def _coarse_sides(nz: DataFrame, caps: tuple[int, int], options: Options, level: int) -> DataFrame:
     """``i, j, side`` for a part too large for one task: the strategy's models, each coarsened in Spark, then the kernel on what is
-    left; the one with the least excess and volume is taken. All vertices go through the kernel, so the caps hold for them."""
+    left, then refinement by batches of moves on every level; the one with the least excess and volume is taken."""
     m, n = nz.agg(F.countDistinct("i"), F.countDistinct("j")).first()
     best, seed = None, options["Seed"] + level
     for kind in kinds_of(options, level, m, n):
         entry, pin = _large_model(nz, kind)
         entry = cut(entry)
         vtx = cut(entry.groupBy(F.col("of").alias("v")).agg(F.count("*").alias("wgt")))
-        vtx, pin, whole = coarsen(vtx, cut(pin), KERNEL_PINS)
+        *finer, coarsest = coarsen(vtx, cut(pin), KERNEL_PINS)
         # A vertex without a net of its own gets one that nobody shares.
-        packed = vtx.join(pin, "v", "left").select("v", F.coalesce("n", -1 - F.abs("v")).alias("n"), "wgt", F.lit(0).alias("g"))
+        packed = coarsest.vtx.join(coarsest.pin, "v", "left").select("v", F.coalesce("n", -1 - F.abs("v")).alias("n"), "wgt", F.lit(0).alias("g"))
 
         def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["v", "n"])
@@ -305,10 +309,13 @@ def _coarse_sides(nz: DataFrame, caps: tuple[int, int], options: Options, level:
                 h, caps, seed=seed, coarsest=options["Coarsening_NrVertices"], levels=options["Coarsening_MaxCoarsenings"], restarts=options["KLFM_InitPart_NrRestarts"],
                 stop_ratio=options["Coarsening_StopRatio"], scaling=options["Coarsening_InprodScaling"], passes=options["KLFM_Refine_MaxNrLoops"], no_gain=options["KLFM_Refine_MaxNrNoGainMoves"],
             )
-            return pd.DataFrame({"grp": names, "side": np.array(side, np.int32)})
+            return pd.DataFrame({"v": names, "side": np.array(side, np.int32)})
 
-        side = cut(packed.groupBy("g").applyInPandas(kernel, "grp long, side int"))
-        found = cut(entry.join(whole.join(side, "grp").select(F.col("v").alias("of"), "side"), "of").select("i", "j", "side"))
+        side = cut(packed.groupBy("g").applyInPandas(kernel, "v long, side int"))
+        for level_ in reversed(finer):
+            side = level_.match.join(side.withColumnRenamed("v", "grp"), "grp").select("v", "side")
+            side = refinement.refine(level_.vtx, level_.pin, side, caps)
+        found = cut(entry.join(side.withColumnRenamed("v", "of"), "of").select("i", "j", "side"))
         load = {r["side"]: r["n"] for r in found.groupBy("side").agg(F.count("*").alias("n")).collect()}
         over = sum(max(load.get(k, 0) - caps[k], 0) for k in (0, 1))
         volume = sum(metrics.volumes(found.withColumnRenamed("side", "part"), a).first()["vol"] for a in ("row", "col"))
@@ -342,32 +349,18 @@ def upper_bound_partition(nz: DataFrame, p: int) -> DataFrame:
 
 
 def distribute_vector(nz: DataFrame, axis: str, size: int, p: int, options: Options | None = None) -> DataFrame:
-    """``idx, part`` for every component: lines of one part first, then the cut lines by the best of several runs (each in a
-    task of its own), then the empty lines for balance."""
+    """``idx, part`` for every component: lines of one part first, then the cut lines, then the empty lines for balance.
+
+    Cut lines that all have two parts get the optimum; others the owners of rounds of blocks, which no task sees as a whole.
+    """
     options = options or Options()
     lines = cut(reduced(nz, axis).groupBy("idx").agg(F.sort_array(F.collect_list("part")).alias("parts")))
-    loops, greedy, order = options["VectorPartition_MaxNrLoops"], options["VectorPartition_MaxNrGreedyImproves"], options["VectorPartition_Step3"]
-    pairs_only = lines.where("size(parts) > 2").isEmpty()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        sets, seed = [list(map(int, x)) for x in pdf["parts"]], int(pdf["seed"].iloc[0])
-        if pairs_only:
-            owner = pairs_optimal(sets, p)
-        else:
-            owner = by_local_bound(sets, p) if seed % 2 else by_sums(sets, p, order, seed)
-            for k in range(greedy):
-                better = improve(sets, owner, p, seed=seed + k)
-                if better == owner:
-                    break
-                owner = better
-        return pd.DataFrame({"seed": seed, "best": measure(sets, owner, p), "idx": pdf["idx"], "part": np.array(owner, np.int32)})
-
-    seeds = nz.sparkSession.range(1 if pairs_only else 2 * loops).select(F.col("id").alias("seed"))
-    runs = cut(lines.crossJoin(F.broadcast(seeds)).groupBy("seed").applyInPandas(run, "seed long, best long, idx long, part int"))  # a row per run
-    best = runs.agg(F.min(F.struct("best", "seed")).alias("b")).first()["b"]
-    chosen = runs.where(F.col("seed") == best["seed"]) if best else runs
-    known = unique_owners(nz, axis).union(chosen.select("idx", "part"))
+    if lines.where("size(parts) > 2").isEmpty():
+        chosen = bids.pair_owners(lines, p)
+    else:
+        chosen = bids.owners(lines, p, rounds=options["VectorPartition_MaxNrLoops"], order=options["VectorPartition_Step3"], sweeps=options["VectorPartition_MaxNrGreedyImproves"])
+    chosen = chosen.select("idx", F.col("owner").alias("part"))
+    known = unique_owners(nz, axis).union(chosen)
     every = nz.sparkSession.range(size).select(F.col("id").alias("idx")).join(known, "idx", "left")
     return fill_unowned(every, p)
 
