@@ -51,21 +51,13 @@ def initial_gains(pin: DataFrame, side: DataFrame) -> DataFrame:
     return d.groupBy("v").agg(F.sum(gain).alias("gain"))
 
 
-def net_cut(pin: DataFrame, side: DataFrame) -> DataFrame:
-    """One row: number of cut nets."""
-    return pin.join(side, "v").groupBy("n").agg(F.countDistinct("side").alias("k")).agg(F.count_if(F.col("k") > 1).alias("cut"))
-
-
-def similarity(pin: DataFrame, scaling: str = "min", net_scaling: str = "linear", max_net: int | None = None) -> DataFrame:
+def similarity(pin: DataFrame, scaling: str = "min", net_scaling: str = "linear") -> DataFrame:
     """``v, w, ip`` for vertices v < w that share a net: the sum over shared nets of 1 (or 1 / net size), scaled by degrees.
 
-    A net of size s gives s * (s - 1) / 2 pairs, so ``max_net`` leaves larger nets out: the result is then that of the
-    hypergraph without them, and :func:`dropped_nets` lists what was left out.
+    A net of size s gives s * (s - 1) / 2 pairs; :func:`netloom.operators.neighbours.near_similarity` gives candidates whose number is linear in pins.
     """
     size = pin.groupBy("n").agg(F.count("*").alias("size"))
     degree = pin.groupBy("v").agg(F.count("*").alias("deg"))
-    if max_net is not None:
-        size = size.where(F.col("size") <= max_net)
     p = pin.join(size.where("size > 1"), "n").join(degree, "v")
     q = p.select("n", F.col("v").alias("w"), F.col("deg").alias("deg2"))
     one = F.lit(1.0) if net_scaling == "no" else 1 / F.col("size")
@@ -80,11 +72,6 @@ def similarity(pin: DataFrame, scaling: str = "min", net_scaling: str = "linear"
     return pairs.select("v", "w", (F.col("ip") / by).alias("ip"))
 
 
-def dropped_nets(pin: DataFrame, max_net: int) -> DataFrame:
-    """``n, size`` of the nets that :func:`similarity` leaves out at ``max_net``."""
-    return pin.groupBy("n").agg(F.count("*").alias("size")).where(F.col("size") > max_net)
-
-
 def best_neighbour(sim: DataFrame, degree: DataFrame, digits: int = 9) -> DataFrame:
     """``v, w``: each vertex's best neighbour: highest score, then lower degree, then lower number."""
     both = sim.select("v", "w", "ip").union(sim.select(F.col("w"), F.col("v"), "ip"))
@@ -103,12 +90,3 @@ def contract(vtx: DataFrame, pin: DataFrame, match: DataFrame) -> tuple[DataFram
     pins = pin.join(match, "v").select(F.col("grp").alias("v"), "n").distinct()
     large = pins.groupBy("n").agg(F.count("*").alias("k")).where("k > 1").select("n")
     return groups, pins.join(large, "n", "left_semi").select("v", "n")
-
-
-def minhash_neighbours(pin: DataFrame, bands: int = 8, rows: int = 2, seed: int = 99) -> DataFrame:
-    """``v, w``: vertex pairs that share a band of minhashes of their nets, next in order inside each bucket: a bounded
-    number of candidates (at most ``bands`` a vertex) however large the nets."""
-    sig = pin.groupBy("v").agg(*[F.min(F.xxhash64("n", F.lit(seed + k))).alias(f"h{k}") for k in range(bands * rows)])
-    keyed = sig.select("v", F.explode(F.array(*[F.xxhash64(F.lit(b), *[f"h{b * rows + r}" for r in range(rows)]) for b in range(bands)])).alias("key"))
-    pairs = keyed.groupBy("key").agg(F.min("v").alias("first"), F.max("v").alias("last")).where("first < last")
-    return keyed.join(pairs, "key").where("v <> first").select(F.col("first").alias("v"), F.col("v").alias("w")).distinct()

@@ -1,6 +1,6 @@
 """The query catalogue: each operator over matrices made of the tables, with DuckDB SQL for the same rows.
 
-Matrices: ``nz`` part x supplier with summed quantities; ``sq`` a sparse 300 x 300 matrix of small orders; ``dnz`` nz with
+Matrices: ``nz`` part x supplier with summed quantities; ``sq`` order x part, taken as a square matrix of the number of orders; ``dnz`` nz with
 part (7 i + 3 j) mod 8; ``bnz`` nz in 8 blocks of equal size. Positions ``t`` follow (i, j).
 """
 
@@ -19,7 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 NZ = "nz AS (SELECT l_partkey AS i, l_suppkey AS j, SUM(l_quantity) AS re FROM lineitem GROUP BY 1, 2)"
-SQ = "sq AS (SELECT l_orderkey % 300 AS i, l_partkey % 300 AS j, CAST(COUNT(*) AS DOUBLE) AS re FROM lineitem WHERE l_quantity <= 2 AND l_linenumber = 1 GROUP BY 1, 2)"
+SQ = "sq AS (SELECT l_orderkey AS i, l_partkey AS j, CAST(COUNT(*) AS DOUBLE) AS re FROM lineitem GROUP BY 1, 2)"
+ORDERS = "(SELECT COUNT(*) FROM orders)"
 DNZ = f"{NZ}, dnz AS (SELECT i, j, re, CAST((7 * i + 3 * j) % 8 AS INT) AS part FROM nz)"
 BNZ = f"{NZ}, bnz AS (SELECT i, j, re, CAST(FLOOR((ROW_NUMBER() OVER (ORDER BY i, j) - 1) * 8 / COUNT(*) OVER ()) AS INT) AS part FROM nz)"
 TNZ = f"{NZ}, tnz AS (SELECT i, j, re, ROW_NUMBER() OVER (ORDER BY i, j) - 1 AS t, CAST((i + j) % 2 AS INT) AS part FROM nz)"
@@ -45,8 +46,11 @@ def nz(spark, d):
 
 
 def sq(spark, d):
-    small = table(spark, d, "lineitem").where("l_quantity <= 2 AND l_linenumber = 1")
-    return matrix.to_nz(small.select((F.col("l_orderkey") % 300).alias("r"), (F.col("l_partkey") % 300).alias("c")), "r", "c")
+    return matrix.to_nz(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+
+
+def orders(spark, d):
+    return count_table(spark, d, "orders")
 
 
 def dnz(spark, d):
@@ -123,14 +127,14 @@ def random_to_lower(spark, d):
     return matrix.lower_triangle(matrix.random_triangle(sq(spark, d).where("i >= j")))
 
 
-@query(f"WITH {SQ} SELECT i, j, re, false AS is_dummy FROM sq UNION ALL SELECT r, r, 0.0, true FROM range(300) x(r) WHERE r NOT IN (SELECT i FROM sq WHERE i = j)")
+@query(f"WITH {SQ} SELECT i, j, re, false AS is_dummy FROM sq UNION ALL SELECT r, r, 0.0, true FROM (SELECT o_orderkey AS r FROM orders) WHERE r NOT IN (SELECT i FROM sq WHERE i = j)")
 def add_dummies(spark, d):
-    return matrix.add_dummies(sq(spark, d), 300)
+    return matrix.add_dummies(sq(spark, d), orders(spark, d))
 
 
 @query(f"WITH {SQ} SELECT i, j, re, false AS is_dummy FROM sq")
 def remove_dummies(spark, d):
-    return matrix.remove_dummies(matrix.add_dummies(sq(spark, d), 300))
+    return matrix.remove_dummies(matrix.add_dummies(sq(spark, d), orders(spark, d)))
 
 
 @query(f"WITH {DNZ} SELECT part, COUNT(*) AS weight FROM dnz GROUP BY part")
@@ -404,11 +408,11 @@ def symfinegrain_pins(spark, d):
 
 
 @query(
-    f"WITH {MEDIUM}, p AS (SELECT DISTINCT CASE WHEN in_ac THEN j ELSE 300 + i END AS v, CASE WHEN in_ac THEN 300 + i ELSE j END AS net FROM h) "
+    f"WITH {MEDIUM}, p AS (SELECT DISTINCT CASE WHEN in_ac THEN j ELSE {ORDERS} + i END AS v, CASE WHEN in_ac THEN {ORDERS} + i ELSE j END AS net FROM h) "
     "SELECT * FROM p UNION SELECT v, v FROM p WHERE v IN (SELECT net FROM p)"
 )
 def mediumgrain_pins(spark, d):
-    return hypergraph.medium_model(matrix.mediumgrain_initial(sq(spark, d), "col"), 300)
+    return hypergraph.medium_model(matrix.mediumgrain_initial(sq(spark, d), "col"), orders(spark, d))
 
 
 GAIN = f"WITH {NZ}, p AS (SELECT i AS v, j AS n, i % 2 AS side FROM nz), s AS (SELECT n, SUM(side) AS ones, COUNT(*) AS k FROM p GROUP BY n), m AS (SELECT v, CASE WHEN side = 1 THEN ones ELSE k - ones END AS mine, k FROM p JOIN s USING (n)) "
@@ -427,13 +431,13 @@ def metric_net_weights(spark, d):
 
 
 SIM = (
-    f"{SQ}, n AS (SELECT j, COUNT(*) AS size FROM sq GROUP BY j), g AS (SELECT i, COUNT(*) AS deg FROM sq GROUP BY i), "
-    "q AS (SELECT a.i AS v, b.i AS w, ANY_VALUE(x.deg) AS d1, ANY_VALUE(y.deg) AS d2, SUM(1.0 / size) AS ip, COUNT(*) AS k FROM sq a JOIN sq b ON a.j = b.j AND a.i < b.i JOIN n ON n.j = a.j JOIN g x ON x.i = a.i JOIN g y ON y.i = b.i GROUP BY 1, 2)"
+    f"{SQ}, n AS (SELECT i, COUNT(*) AS size FROM sq GROUP BY i), g AS (SELECT j, COUNT(*) AS deg FROM sq GROUP BY j), "
+    "q AS (SELECT a.j AS v, b.j AS w, ANY_VALUE(x.deg) AS d1, ANY_VALUE(y.deg) AS d2, SUM(1.0 / size) AS ip, COUNT(*) AS k FROM sq a JOIN sq b ON a.i = b.i AND a.j < b.j JOIN n ON n.i = a.i JOIN g x ON x.j = a.j JOIN g y ON y.j = b.j GROUP BY 1, 2)"
 )
 
 
 def sim(spark, d, scaling):
-    pin = hypergraph.line_model(sq(spark, d), "row")[1]
+    pin = hypergraph.line_model(sq(spark, d), "col")[1]
     return hypergraph.similarity(pin, scaling)
 
 
@@ -457,7 +461,7 @@ BEST = f"WITH {SIM}, s AS (SELECT v, w, ip / LEAST(d1, d2) AS ip, d2 FROM q UNIO
 
 @query(BEST + "SELECT v, w FROM r WHERE k = 1")
 def best_neighbour(spark, d):
-    pin = hypergraph.line_model(sq(spark, d), "row")[1]
+    pin = hypergraph.line_model(sq(spark, d), "col")[1]
     return hypergraph.best_neighbour(hypergraph.similarity(pin, "min"), pin.groupBy("v").agg(F.count("*").alias("deg")))
 
 
@@ -561,34 +565,36 @@ def intersection_uv(spark, d):
 
 
 @query(
-    f"WITH RECURSIVE {SQ}, e AS (SELECT DISTINCT a.i AS x, b.i AS y FROM sq a JOIN sq b USING (j)), r AS (SELECT DISTINCT i AS x, i AS label FROM sq UNION SELECT e.y, r.label FROM r JOIN e USING (x)) SELECT x AS i, MIN(label) AS label FROM r GROUP BY x"
+    "WITH RECURSIVE oc AS (SELECT o_orderkey AS i, o_custkey AS j FROM orders), e AS (SELECT DISTINCT a.i AS x, b.i AS y FROM oc a JOIN oc b USING (j)), r AS (SELECT DISTINCT i AS x, i AS label FROM oc UNION SELECT e.y, r.label FROM r JOIN e USING (x)) SELECT x AS i, MIN(label) AS label FROM r GROUP BY x"
 )
 def connected_components(spark, d):
-    return components.matrix_components(sq(spark, d))
+    return components.matrix_components(matrix.to_nz(table(spark, d, "orders"), "o_orderkey", "o_custkey"))
 
 
 # Whole recursive orders and outputs
 
 RANGE = (
-    f"WITH {SQ}, l AS (SELECT j AS idx, MIN(i * 8 // 300) AS a, MAX(i * 8 // 300) AS b FROM sq GROUP BY j), "
+    f"WITH {SQ}, l AS (SELECT j AS idx, MIN(LEAST(7, j * 8 // (SELECT COUNT(*) FROM part) + (i % 97 = 0)::INT)) AS a, MAX(LEAST(7, j * 8 // (SELECT COUNT(*) FROM part) + (i % 97 = 0)::INT)) AS b FROM sq GROUP BY j), "
     "k AS (SELECT idx, CASE WHEN b < 4 THEN '0' || CASE WHEN b < 2 THEN '0' || CASE WHEN b < 1 THEN '0' WHEN a >= 1 THEN '2' ELSE '1' END WHEN a >= 2 THEN '2' || CASE WHEN b < 3 THEN '0' WHEN a >= 3 THEN '2' ELSE '1' END ELSE '1' END "
     "WHEN a >= 4 THEN '2' || CASE WHEN b < 6 THEN '0' || CASE WHEN b < 5 THEN '0' WHEN a >= 5 THEN '2' ELSE '1' END WHEN a >= 6 THEN '2' || CASE WHEN b < 7 THEN '0' WHEN a >= 7 THEN '2' ELSE '1' END ELSE '1' END ELSE '1' END AS key FROM l), "
     "o AS (SELECT ROW_NUMBER() OVER (ORDER BY key, idx) - 1 AS pos, idx, key FROM k) "
 )
 
 
-def row_blocks(spark, d):
-    return sq(spark, d).withColumn("part", F.floor(F.col("i") * P / 300).cast("int"))
+def blocks_of_parts(spark, d):
+    """Eight blocks of columns, of which every 97th order belongs to the next block."""
+    block = F.floor(F.col("j") * P / count_table(spark, d, "part")) + (F.col("i") % 97 == 0).cast("int")
+    return sq(spark, d).withColumn("part", F.least(F.lit(P - 1), block).cast("int"))
 
 
 @query(RANGE + "SELECT * FROM o")
 def recursive_sbd_order(spark, d):
-    return reorder.recursive_order(row_blocks(spark, d), "col", P, "infix")
+    return reorder.recursive_order(blocks_of_parts(spark, d), "col", P, "infix")
 
 
 @query(RANGE + ", b AS (SELECT key, MIN(pos) AS start, COUNT(*) AS size FROM o GROUP BY key) SELECT ROW_NUMBER() OVER (ORDER BY start) - 1 AS ord, start, size, key, left(key, length(key) - 1) AS parent FROM b")
 def block_hierarchy(spark, d):
-    return reorder.blocks(reorder.recursive_order(row_blocks(spark, d), "col", P, "infix"))
+    return reorder.blocks(reorder.recursive_order(blocks_of_parts(spark, d), "col", P, "infix"))
 
 
 @query(f"WITH {SQ} SELECT (i + 1) || ' ' || (j + 1) || ' ' || CAST(re AS BIGINT) AS line FROM sq")
@@ -606,9 +612,9 @@ def dimacs_owners(spark, d):
     return owner(spark, d).select(F.col("idx").alias("pos"), F.col("part").cast("string").alias("line"))
 
 
-@query(f"""WITH {SQ} SELECT '<rect x="' || (j * 10) || '" y="' || (i * 10) || '" width="10" height="10" fill="' || CASE (i * 4 // 300) WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'green' ELSE 'orange' END || '"/>' AS line FROM sq""")
+@query(f"""WITH {SQ} SELECT '<rect x="' || (j * 10) || '" y="' || (i * 10) || '" width="10" height="10" fill="' || CASE (i * 4 // {ORDERS}) WHEN 0 THEN 'red' WHEN 1 THEN 'blue' WHEN 2 THEN 'green' ELSE 'orange' END || '"/>' AS line FROM sq""")
 def svg_rectangles(spark, d):
-    return matrix_market.svg(sq(spark, d).withColumn("part", F.floor(F.col("i") * 4 / 300).cast("int")), 300, 300)
+    return matrix_market.svg(sq(spark, d).withColumn("part", F.floor(F.col("i") * 4 / orders(spark, d)).cast("int")), orders(spark, d), orders(spark, d))
 
 
 @query(

@@ -16,11 +16,17 @@ from ..operators.vectors import reduced
 from ..sources import matrix_market
 from ..streaming.lambdas import lambda_stream
 from . import catalog
-from .catalog import P, query, sq, table
+from .catalog import P, query, table
 from .options import Options
 from .partition import distribute_vector, partition, report, upper_bound_partition
 
 
+def sq(spark, d):
+    """A folded 300 x 300 matrix of small orders, for the kernels that work in one task."""
+    small = table(spark, d, "lineitem").where("l_quantity <= 2 AND l_linenumber = 1")
+    return matrix.to_nz(small.select((F.col("l_orderkey") % 300).alias("r"), (F.col("l_partkey") % 300).alias("c")), "r", "c")
+
+
 def row(spark, **values):
     return spark.createDataFrame([tuple(bool(v) for v in values.values())], ", ".join(f"{k} boolean" for k in values))
 
