@@ -54,10 +54,10 @@ CHOICES: dict[str, tuple] = {
 
 #: Options that have no effect here: any value but the default raises when a partitioning run begins.
 UNSUPPORTED = (
-    "LoadbalanceAdjust", "Metric", "Discard_Free_Nets", "SquareMatrix_DistributeVectorsEqual", "SquareMatrix_DistributeVectorsEqual_AddDummies", "SymmetricMatrix_UseSingleEntry",
+    "LoadbalanceAdjust", "Metric", "Discard_Free_Nets", "SquareMatrix_DistributeVectorsEqual_AddDummies", "SymmetricMatrix_UseSingleEntry",
     "SymmetricMatrix_SingleEntryType", "Coarsening_NrMatchArbitrary", "Coarsening_MaxNrVtxInMatch", "Coarsening_VtxMaxFractionOfWeight", "Coarsening_MatchingStrategy",
     "Coarsening_MatchingATAMatcher", "Coarsening_MatchingATAFinder", "Coarsening_FineSwitchLevel", "Coarsening_InprodMatchingOrder", "Coarsening_NetScaling", "Coarsening_MatchIdenticalFirst",
-    "KLFM_InitPart_MaxNrLoops", "KLFM_InitPart_MaxNrNoGainMoves", "OutputFormat", "OutputMode", "Permute", "EnforceSymmetricPermutation",
+    "KLFM_InitPart_MaxNrLoops", "KLFM_InitPart_MaxNrNoGainMoves", "EnforceSymmetricPermutation",
 )
 
 
