@@ -31,13 +31,18 @@ NAMES = re.compile(
 )
 #: Words among them that inside a marked article may stand for parts of it.
 INSIDE = re.compile(r"\b(?:related|recommend\w*|share|sharing|side|skip|social|tags?|search)\b")
-TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*(?:"|$)|'[^']*(?:'|$))*)(?:>|$)""", re.S)
+#: Names that only speak of such a box: what surrounds or lacks one, and parts of articles.
+NO_BOX = re.compile(r"(?:^|(?<=\s))(?:(?:has|have|no|not|with|without|dept|editors?)-\S+|(?:section|article|entry|post|story)-header)(?=\s|$)")
+#: Elements skipped for their names count after all if they hold more than this share of the page's text, and what no such element holds is less than that.
+MOST, REST = 0.5, 0.1
+TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]+|=\s*(?:"[^"]*(?:"|$)|'[^']*(?:'|$))?|["'])*+)(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 SPACE = re.compile(r"\s+")
 #: Share of the leading path's votes that makes another path of the host a winner too; hosts up to which the winners are broadcast.
 FAIR, HOSTS = 0.25, 200_000
 #: A container that says it is the article.
 MARKED = re.compile(r">(?:article|main)(?=[.>]|$)")
+FIRST_ARTICLE = re.compile(r".*?>article[^>]*")
 #: Share of its page's text that a host's path must hold to be taken; least share of the winner's text, and most share of links, of a sibling that joins it.
 HOLDS, JOINS, LINKS = 0.5, 0.1, 0.25
 
@@ -47,12 +52,14 @@ class Page:
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[str, str, int]] = []
-        # Open elements: (tag, path of its container, skipped, in a link).
-        stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
+        # Open elements: (tag, path of its container, skipped, in a link, numbers of the elements around it that have the name of a box).
+        stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = [("", "", False, False, ())]
+        boxes: list[tuple[int, ...]] = []
+        n_boxes = 0
         text: list[str] = []
         linked = 0
         html = html or ""
-        at, path_of_text = 0, ""
+        at, path_of_text, boxes_of_text = 0, "", ()
 
         def flush():
             nonlocal linked
@@ -60,6 +67,7 @@ class Page:
                 joined = SPACE.sub(" ", unescape("".join(text))).strip()
                 if joined:
                     self.blocks.append((path_of_text, joined, linked))
+                    boxes.append(boxes_of_text)
                 text.clear()
             linked = 0
 
@@ -68,7 +76,7 @@ class Page:
             end = found.start() if found else len(html)
             if end > at and not stack[-1][2]:
                 if not text:
-                    path_of_text = stack[-1][1]
+                    path_of_text, boxes_of_text = stack[-1][1], stack[-1][4]
                 text.append(html[at:end])
                 linked += (end - at) * stack[-1][3]
             if not found:
@@ -98,22 +106,34 @@ class Page:
                 stack.pop()
             if tag in VOID:
                 continue
-            named, gone = "", tag in SKIPPED
+            named, gone, box = "", tag in SKIPPED, False
             if rest and rest != "/":
                 for name, *values in ATTRIBUTE.findall(rest):
                     value = next(filter(None, values), "").lower()
-                    telling = INSIDE.sub("", value) if MARKED.search(stack[-1][1]) else value
-                    gone = gone or name.lower() == "hidden" or bool(NAMES.search(telling)) and tag not in ("html", "body", "main", "article")
+                    telling = NO_BOX.sub("", value)
+                    telling = INSIDE.sub("", telling) if MARKED.search(stack[-1][1]) else telling
+                    gone = gone or name.lower() == "hidden"
+                    box = box or bool(NAMES.search(telling)) and tag not in ("html", "body", "main", "article")
                     if name.lower() == "class":
                         named = ".".join(sorted({re.sub(r"\d+", "", w) for w in value.split()}))
             path, skipped = stack[-1][1], stack[-1][2] or gone
             if tag in CONTAINERS:
                 path = f"{path}>{tag}{'.' + named if named else ''}"
-            stack.append((tag, path, skipped, stack[-1][3] or tag == "a"))
+            if box and tag not in BLOCKS:  # a part of a line goes at once
+                skipped, box = True, False
+            n_boxes += box
+            stack.append((tag, path, skipped, stack[-1][3] or tag == "a", (*stack[-1][4], n_boxes) if box else stack[-1][4]))
             if tag in RAW and not rest.endswith("/"):
                 close = re.compile(rf"</{tag}(?=[\s/>]|$)", re.I).search(html, at)
                 at = close.start() if close else len(html)
         flush()
+        held: dict[int, int] = {}
+        for (_, joined, _), around in zip(self.blocks, boxes, strict=True):
+            for k in (0, *around):
+                held[k] = held.get(k, 0) + len(joined)
+        total, free = held.get(0, 0), sum(len(b[1]) for b, around in zip(self.blocks, boxes, strict=True) if not around)
+        large = {k for k, n in held.items() if n > MOST * total} if free < REST * total else set()
+        self.blocks = [b for b, around in zip(self.blocks, boxes, strict=True) if large.issuperset(around)]
 
     def scores(self) -> dict[str, float]:
         """Per container path the characters of text outside links, with more weight where an element says it is the article."""
@@ -141,6 +161,12 @@ class Page:
             first = next((m for m in marks if m[0] == ">article"), marks[0])
             best = best[: next((k for k in range(first.end(), len(best)) if best[k] == ">"), len(best))]
         parent, roots = best.rpartition(">")[0], [best]
+        if best.rpartition(">")[2].startswith("article"):  # further articles of the page
+            weight = plain(best)
+            for near in sorted({m[0] for p, _, _ in self.blocks if (m := FIRST_ARTICLE.match(p)) and not within(p, best)}):
+                whole, linked = sum(len(t) for p, t, _ in self.blocks if within(p, near)), sum(n for p, _, n in self.blocks if within(p, near))
+                if plain(near) >= JOINS * weight and linked <= LINKS * whole and not within(best, near) and not NAMES.search(near.rpartition(">")[2].replace(".", " ")):
+                    roots.append(near)
         if parent and not MARKED.search(best):
             weight = plain(best)
             for near in sorted({p[: p.find(">", len(parent) + 1)] if p.find(">", len(parent) + 1) > 0 else p for p, _, _ in self.blocks if p.startswith(parent + ">")} - {best}):
