@@ -12,7 +12,6 @@ documents. Documents never leave their partition, and no pair without a shared s
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,12 +42,18 @@ def tile(a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[int, int, int]]
     while True:
         hash_a, hash_b = roll(a.astype(np.uint64) + np.uint64(1), size), roll(b.astype(np.uint64) + np.uint64(1), size)
         ok_a, ok_b = (np.lib.stride_tricks.sliding_window_view(f, size).all(1) for f in (free_a, free_b))
-        where = defaultdict(list)
-        for k in np.flatnonzero(ok_b & np.isin(hash_b, hash_a)).tolist():
-            where[int(hash_b[k])].append(k)
+        places = np.flatnonzero(ok_b & np.isin(hash_b, hash_a))
+        places = places[np.argsort(hash_b[places], kind="stable")]
+        starts = np.flatnonzero(np.diff(hash_b[places], prepend=~hash_b[places[:1]])) if len(places) else places
+        where = dict(zip(hash_b[places[starts]].tolist(), np.split(places, starts[1:]), strict=True)) if len(places) else {}
         found, longest = [], 0
         for i in np.flatnonzero(ok_a).tolist() if where else ():
-            for j in where.get(int(hash_a[i]), ()):
+            there = where.get(int(hash_a[i]))
+            if there is None:
+                continue
+            if i and free_a[i - 1]:  # what also matches one word before belongs to that longer run
+                there = there[~((there > 0) & free_b[there - 1] & (b[there - 1] == a[i - 1]))]
+            for j in there.tolist():
                 n = 0
                 while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
                     n += 1
