@@ -19,16 +19,9 @@ def prefix(df: DataFrame, key: str, weight: str, name: str = "before", block: in
     return d.withColumn("_pi", inside).join(sums, "_pb").withColumn(name, (F.col("_po") + F.col("_pi")).cast("long")).drop("_pb", "_po", "_pi")
 
 
-def ordinal(df: DataFrame, major: str = "i", minor: str = "j", name: str = "pos", block: int = BLOCK) -> DataFrame:
-    """0-based position of each row by (major, minor), unique integers: rows per major line are counted and summed up,
-    then blocks inside a line, then rows inside a block, so no task sorts more than a block."""
-    d = df.withColumn("_b", F.floor(F.col(minor) / block).cast("long"))
-    cells = d.groupBy(major, "_b").agg(F.count("*").alias("_n"))
-    lines = prefix(cells.groupBy(major).agg(F.sum("_n").alias("_m")), major, "_m", "_o").drop("_m")
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(major).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cells = cells.withColumn("_c", before).drop("_n").join(lines, major)
-    row = F.row_number().over(Window.partitionBy(major, "_b").orderBy(minor)) - 1
-    return d.withColumn("_r", row).join(cells, [major, "_b"]).withColumn(name, (F.col("_o") + F.col("_c") + F.col("_r")).cast("long")).drop("_b", "_r", "_c", "_o")
+def ordinal(df: DataFrame, major: str = "i", minor: str = "j", name: str = "pos") -> DataFrame:
+    """0-based position of each row by (major, minor), which no two rows share."""
+    return placed(df, major, minor, name=name)
 
 
 def compact(df: DataFrame, key: str, name: str) -> DataFrame:

@@ -16,14 +16,17 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.checkpoints import cut
 from ..functions.hyper import build, multilevel, refine, subset_sum, upper_bound_parts
-from ..operators import bids, hypergraph, matching, metrics, neighbours, refinement
+from ..operators import bids, hypergraph, line_parts, matching, metrics, neighbours, refinement
 from ..operators.vectors import fill_unowned, reduced, unique_owners
 from .options import Options
 
 KERNEL_PINS = 2_000_000
+#: Models of the strategies that try several.
+GRID = {"localbest": ["onedimrow", "onedimcol"], "hybrid": ["onedimrow", "onedimcol", "finegrain"]}
 
 
 def parts_for(weights: list[int], p: int, finished: set[int] = frozenset()) -> list[int]:
@@ -104,19 +107,19 @@ def kinds_of(options: Options, level: int, m: int, n: int) -> list[str]:
         first = {"row": "onedimrow", "col": "onedimcol", "ratio": ratio}[options["Alternate_FirstDirection"]]
         turn = {"onedimrow": "onedimcol", "onedimcol": "onedimrow"}
         return [turn[first] if level % 2 else first]
-    return {"localbest": ["onedimrow", "onedimcol"], "hybrid": ["onedimrow", "onedimcol", "finegrain"], "localratio": [ratio]}.get(name, [name])
+    return GRID.get(name) or ([ratio] if name == "localratio" else [name])
 
 
-def bisect(i: np.ndarray, j: np.ndarray, caps: tuple[int, int], options: Options, seed: int, level: int = 0) -> np.ndarray:
-    """Side 0 or 1 of each entry."""
+def bisect(i: np.ndarray, j: np.ndarray, caps: tuple[int, int], options: Options, seed: int, level: int = 0, kinds: list[str] | None = None) -> tuple[tuple[int, int], np.ndarray]:
+    """(excess and volume that its model reached, side 0 or 1 of each entry) by the best of the strategy's models, or of ``kinds``."""
     if options["ZeroVolumeSearch"] == "yes":
         comp = components_of(i, j)
         sizes = np.bincount(comp).tolist()
         if len(sizes) > 1 and (bins := subset_sum(sizes, caps)) is not None and 0 < sum(bins) < len(bins):
-            return np.array(bins)[comp]
+            return (0, 0), np.array(bins)[comp]
     if options["SplitMethod"] == "simple":
-        return (np.arange(len(i)) >= min(caps[0], max(len(i) - caps[1], round(len(i) * caps[0] / sum(caps))))).astype(int)
-    kinds = kinds_of(options, level, len(np.unique(i)), len(np.unique(j)))
+        return (0, 0), (np.arange(len(i)) >= min(caps[0], max(len(i) - caps[1], round(len(i) * caps[0] / sum(caps))))).astype(int)
+    kinds = kinds or kinds_of(options, level, len(np.unique(i)), len(np.unique(j)))
     best = None
     for kind in kinds:
         vertex, net, of = _model(i, j, kind)
@@ -131,10 +134,10 @@ def bisect(i: np.ndarray, j: np.ndarray, caps: tuple[int, int], options: Options
         key = (over, _volume(i, j, entry))
         if best is None or key < best[0]:
             best = (key, entry)
-    entry = best[1]
+    key, entry = best
     if options["Iterative_Refinement"] != "never":
         entry = _again(i, j, entry, caps)
-    return _free(i, j, entry, caps) if options["ImproveFreeNonzeros"] == "yes" else entry
+    return key, _free(i, j, entry, caps) if options["ImproveFreeNonzeros"] == "yes" else entry
 
 
 def _volume(i, j, side) -> int:
@@ -185,6 +188,8 @@ class Partition:
     nz: DataFrame
     maxweight: int
     feasible: bool
+    #: Entries per line and part (``axis, idx, part, n``), if they were kept.
+    line_parts: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -222,42 +227,57 @@ def coarsen(vtx: DataFrame, pin: DataFrame, target: int, rounds: int = 60) -> li
     raise RuntimeError(f"coarsening did not reach {target} pins in {rounds} rounds")
 
 
-def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None = None, on_split: Callable[[int, DataFrame], bool] | None = None) -> Partition:
+def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None = None, on_split: Callable[[int, DataFrame], bool] | None = None, keep_line_parts: bool = False) -> Partition:
     """``nz(i, j, ..., part)`` over parts 0..p-1 with at most (1 + eps) of the mean weight each.
 
     ``on_split(level, nz)`` sees each level; a false answer stops the recursion. ``feasible`` tells whether every part is
     within the bound. A result whose volume exceeds the guaranteed bound gives way to one that keeps it (``CheckUpperBound``).
-    Options that aren't implemented raise unless they have their default. Same seed, same result, however the rows are spread. Without rows there is nothing to split.
+    ``keep_line_parts`` keeps the counts of entries per line and part, updated by what each level moves.
+    The models of a strategy that tries several are tasks of their own. Options that aren't implemented raise unless they have their default. Same seed, same result, however the rows are spread. Without rows there is nothing to split.
     """
     options = options or Options()
     options.require_supported()
     total = nz.count()
     maxweight = math.floor((1 + eps) * total / p)
     current = cut(nz.drop("part").withColumns({"part": F.lit(0), "procs": F.lit(p)}))
+    table = cut(line_parts.counted(current)) if keep_line_parts else None
     level = 0
     while not current.where("procs > 1").isEmpty():
         sizes = {r["part"]: (r["n"], r["procs"]) for r in current.groupBy("part", "procs").agg(F.count("*").alias("n")).collect()}
         bounds = {q: split_bounds(n, k, maxweight, options["LoadbalanceStrategy"]) for q, (n, k) in sizes.items() if k > 1}
         big = [q for q in bounds if 2 * sizes[q][0] > KERNEL_PINS]
+        current = current.withColumn("was", F.col("part"))
         maps = {q: _coarse_sides(current.where(F.col("part") == q), bounds[q][2:], options, level) for q in big}
         schema, columns, seed = current.schema, current.columns, options["Seed"]
 
-        def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        def split(pdf: pd.DataFrame, kind: str | None) -> pd.DataFrame:
             q = int(pdf["part"].iloc[0])
             low, high, cap_low, cap_high = bounds[q]
             pdf = pdf.sort_values(["i", "j"], ignore_index=True)
-            side = bisect(pdf["i"].to_numpy(), pdf["j"].to_numpy(), (cap_low, cap_high), options, seed + 1000 * level + q, level)
+            key, side = bisect(pdf["i"].to_numpy(), pdf["j"].to_numpy(), (cap_low, cap_high), options, seed + 1000 * level + q, level, [kind] if kind else None)
             pdf["part"] = np.where(side == 0, q, q + low).astype(np.int32)
             pdf["procs"] = np.where(side == 0, low, high).astype(np.int32)
-            return pdf[columns]
-
-        small = current.where((F.col("procs") > 1) & ~F.col("part").isin(big or [-1])).groupBy("part").applyInPandas(split, schema)
+            return pdf.assign(over=key[0], volume=key[1])[[*columns, "kind", "over", "volume"]] if kind else pdf[columns]
+
+        small = current.where((F.col("procs") > 1) & ~F.col("part").isin(big or [-1]))
+        kinds = GRID.get(options["SplitStrategy"]) if options["SplitMethod"] != "simple" else None
+        if kinds:  # each part and model is a task; a part's best model is the one with least excess and volume, the first of equals
+            models = small.select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).groupBy("part", "kind")
+            models = cut(models.applyInPandas(lambda pdf: split(pdf, pdf["kind"].iloc[0]), StructType([*schema.fields, *StructType.fromDDL("kind string, over long, volume long").fields])))
+            order = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))
+            best = models.groupBy("was", "kind").agg(F.min(F.struct("over", "volume", order.alias("at"))).alias("key")).groupBy("was").agg(F.min_by("kind", "key").alias("kind"))
+            small = models.join(F.broadcast(best), ["was", "kind"]).select(*columns)  # a row per part
+        else:
+            small = small.groupBy("part").applyInPandas(lambda pdf: split(pdf, None), schema)
         out = current.where("procs = 1").unionByName(small)
         for q, sides in maps.items():
             low, high, *_ = bounds[q]
             mine = current.where(F.col("part") == q).join(sides, ["i", "j"])
             out = out.unionByName(mine.withColumns({"part": F.when(F.col("side") == 0, q).otherwise(q + low).cast("int"), "procs": F.when(F.col("side") == 0, low).otherwise(high).cast("int")}).drop("side"))
         current = cut(out)
+        if table is not None:
+            table = cut(line_parts.moved(table, current.where("part <> was")))
+        current = current.drop("was")
         level += 1
         if on_split and not on_split(level, current.drop("procs")):
             break
@@ -265,8 +285,9 @@ def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None
         m, n = nz.agg(F.countDistinct("i"), F.countDistinct("j")).first()
         if sum(metrics.volumes(current, a).first()["vol"] for a in ("row", "col")) > (min(m, n) + 1) * (p - 1):
             current = cut(upper_bound_partition(nz, p).withColumn("procs", F.lit(1)))
+            table = cut(line_parts.counted(current)) if keep_line_parts else None
     heaviest = current.groupBy("part").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return Partition(current.drop("procs"), maxweight, heaviest <= maxweight)
+    return Partition(current.drop("procs"), maxweight, heaviest <= maxweight, table)
 
 
 def _large_model(nz: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:

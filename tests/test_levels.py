@@ -285,3 +285,20 @@ def test_vectors_have_owners_in_their_lines(spark):
         for e in nz:
             parts.setdefault(e[k], set()).add(e[2])
         assert len(owner) == size and all(owner[x] in s for x, s in parts.items()) and set(owner.values()) <= set(range(4))
+
+
+@pytest.mark.parametrize("strategy", ["hybrid", "localbest"])
+def test_models_as_tasks_and_line_counts_by_changes(spark, strategy):
+    """Each level's kept counts equal a recount; the models' tasks give what one task gives that tries all in turn."""
+    from netloom.operators import line_parts
+
+    nz = spark.createDataFrame(sorted(matrices(spark)["blocks"]), "i long, j long")
+    options, seen = Options({"SplitStrategy": strategy, "CheckUpperBound": "no"}), []
+    out = partition(nz, 4, 0.2, options, on_split=lambda level, x: seen.append(level) or True, keep_line_parts=True)
+    row = lambda df: sorted(tuple(r) for r in df.select("axis", "idx", "part", "n").collect())
+    assert seen == [1, 2] and row(out.line_parts) == row(line_parts.counted(out.nz))
+    assert line_parts.volume(out.line_parts) == sum(metrics.volumes(out.nz, a).first()["vol"] for a in ("row", "col"))
+    i, j = (nz.orderBy("i", "j").toPandas()[c].to_numpy() for c in "ij")
+    _, side = module.bisect(i, j, module.split_bounds(len(i), 2, int(1.2 * len(i) / 2))[2:], options, options["Seed"])
+    two = partition(nz, 2, 0.2, options).nz.orderBy("i", "j").toPandas()["part"]
+    assert two.tolist() == side.tolist()
