@@ -21,6 +21,9 @@ from .options import Options
 from .partition import distribute_vector, partition, report, upper_bound_partition
 
 
+SQ = "sq AS (SELECT l_orderkey % 300 AS i, l_partkey % 300 AS j, CAST(COUNT(*) AS DOUBLE) AS re FROM lineitem WHERE l_quantity <= 2 AND l_linenumber = 1 GROUP BY 1, 2)"
+
+
 def sq(spark, d):
     """A folded 300 x 300 matrix of small orders, for the kernels that work in one task."""
     small = table(spark, d, "lineitem").where("l_quantity <= 2 AND l_linenumber = 1")
@@ -212,7 +215,7 @@ def exact_split(spark, d):
     return kernel(m, "g", f, proven=1, feasible=1, no_worse_than_heuristic=1)
 
 
-@query(f"WITH {catalog.SQ} SELECT i, j, re FROM sq")
+@query(f"WITH {SQ} SELECT i, j, re FROM sq")
 def matrix_market_round_trip(spark, d):
     """sq written as Matrix-Market text in the shared folder and read again."""
     m = ordinal.ordinal(sq(spark, d), name="t")

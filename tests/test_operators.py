@@ -51,7 +51,7 @@ def test_dummies(spark):
 
 def test_ordinal_is_a_position(spark):
     d = spark.range(5000).select((F.col("id") * 7919 % 61).alias("i"), F.col("id").alias("j"))
-    got = [r["pos"] for r in ordinal.ordinal(d, block=64).orderBy("i", "j").collect()]
+    got = [r["pos"] for r in ordinal.ordinal(d.repartition(7)).orderBy("i", "j").collect()]
     assert got == list(range(5000))
 
 
