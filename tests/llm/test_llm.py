@@ -167,7 +167,7 @@ def edit(a, b):
 
 
 def brute_lines(spark, texts, radius=lines.RADIUS, similarity=0.8, edits_alone=False):
-    """All pairs of contents that agree on one of three blocks of bits of either half, are near enough and similar by edits."""
+    """All pairs of contents that agree on two blocks with a bit (of one half, or of any in short lines), are near enough and similar by edits."""
     import regex
 
     norm = lambda x: " ".join(regex.findall(r"[\p{L}\p{N}]+", x.lower()))
@@ -175,24 +175,23 @@ def brute_lines(spark, texts, radius=lines.RADIUS, similarity=0.8, edits_alone=F
     vocabulary = sorted({w for *_, x in places for w in x.split(" ")})
     hashes = dict(spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w")).collect()) if vocabulary else {}
 
-    def half(ws):
-        return sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in ws) > len(ws))
-
     def sim(x):
-        ws = x.split(" ")
-        k = (len(ws) + 1) // 2
-        return half(ws[:k]), half(ws[k:])
+        out = []
+        for half in (0, 1):
+            for place in range(4):
+                ws = [hashes[w] for w in x.split(" ") if hashes[w] & 1 == half and hashes[w] >> 1 & 3 == place]
+                out.append(sum(1 << b for b in range(16) if 2 * sum(h >> 48 + b & 1 for h in ws) > len(ws)))
+        return out, len(x.split(" "))
 
     def candidates(p, q):
-        x = [a ^ b for a, b in zip(p, q)]
-        agree = any((d >> low) % (1 << high - low) == 0 for d in x for low, high in ((0, 21), (21, 42), (42, 64)))
-        return agree and sum(d.bit_count() for d in x) <= radius
+        (p, n), (q, m) = p, q
+        same = [k for k in range(8) if p[k] == q[k] != 0]
+        agree = any(i // 4 == j // 4 or max(n, m) < lines.SHORT for i, j in combinations(same, 2))
+        return agree and sum((x ^ y).bit_count() for x, y in zip(p, q)) <= radius
 
     def alike(a, b):
         if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
             return False
-        if max(len(a), len(b)) > lines.LONG:
-            a, b = a.split(" "), b.split(" ")
         return edit(a, b) <= int((1 - similarity) * max(len(a), len(b)) + 1e-9)
 
     contents = sorted({x for *_, x in places})
