@@ -98,13 +98,13 @@ def split_order(side: DataFrame, mode: str = "infix") -> DataFrame:
     return ordinal(side.withColumn("_class", cls.cast("long")), "_class", "idx").select("pos", "idx")
 
 
-def placed(df: DataFrame, *order: str | Column, name: str = "pos") -> DataFrame:
+def placed(df: DataFrame, *order: str | Column, name: str = "pos", keep: tuple[str, ...] = ("*",)) -> DataFrame:
     """0-based position of each row in ``order``, by one shuffle into ranges; no key needs to fit into one task.
 
     Spark's counting id holds the partition above bit 33 and the place within it below; the sorted rows are checkpointed, so
-    counting the partitions and reading the rows see the same places. Rows that ``order`` can't tell apart come in any order.
+    counting the partitions and reading the rows see the same places. Only the columns ``keep`` are. Rows that ``order`` can't tell apart come in any order.
     """
-    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).select(*keep, F.monotonically_increasing_id().alias("_place")))
     part = F.shiftright("_place", 33)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
