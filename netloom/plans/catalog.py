@@ -564,10 +564,12 @@ def intersection_uv(spark, d):
 
 
 @query(
-    "WITH RECURSIVE oc AS (SELECT o_orderkey AS i, o_custkey AS j FROM orders), e AS (SELECT DISTINCT a.i AS x, b.i AS y FROM oc a JOIN oc b USING (j)), r AS (SELECT DISTINCT i AS x, i AS label FROM oc UNION SELECT e.y, r.label FROM r JOIN e USING (x)) SELECT x AS i, MIN(label) AS label FROM r GROUP BY x"
+    f"WITH RECURSIVE {SQ}, r AS (SELECT 0 AS k, i, i AS label FROM sq GROUP BY i UNION ALL "
+    "(WITH c AS (SELECT j, MIN(label) AS label FROM r JOIN sq USING (i) GROUP BY j), n AS (SELECT i, MIN(c.label) AS label FROM sq JOIN c USING (j) GROUP BY i) "
+    "SELECT r.k + 1, i, n.label FROM r JOIN n USING (i) WHERE EXISTS (SELECT 1 FROM r JOIN n USING (i) WHERE n.label < r.label))) SELECT i, MIN(label) AS label FROM r GROUP BY i"
 )
 def connected_components(spark, d):
-    return components.matrix_components(matrix.to_nz(table(spark, d, "orders"), "o_orderkey", "o_custkey"))
+    return components.matrix_components(sq(spark, d))
 
 
 # Whole recursive orders and outputs

@@ -44,3 +44,13 @@ def test_matching_writes_edges_twice_at_most(spark, monkeypatch):
     monkeypatch.setattr(matching, "cut", counting)
     assert matching.dominant_matching(spark.createDataFrame(edges, "v long, w long, ip double")).count() == 30
     assert sum(written) <= 2 * len(edges)
+
+
+def test_connected_components_read_all_of_sq(spark, tmp_path):
+    """Orders tied by a part alone, not by a customer, are one component; a chain takes several rounds."""
+    from netloom.plans import catalog
+
+    spark.createDataFrame([(o, 10 + p) for o in range(40) for p in (o, o + 1)] + [(90, 99)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o, o) for o in range(100)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = {r["i"]: r["label"] for r in catalog.QUERIES["connected_components"](spark, str(tmp_path)).collect()}
+    assert found == dict.fromkeys(range(40), 0) | {90: 90}
