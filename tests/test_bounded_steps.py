@@ -54,3 +54,38 @@ def test_connected_components_read_all_of_sq(spark, tmp_path):
     spark.createDataFrame([(o, o) for o in range(100)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
     found = {r["i"]: r["label"] for r in catalog.QUERIES["connected_components"](spark, str(tmp_path)).collect()}
     assert found == dict.fromkeys(range(40), 0) | {90: 90}
+
+
+def test_tasks_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from netloom.operators import matrix
+    from netloom.plans import catalog
+
+    rows = [(o, o * 7 % 50, o % 9, 1.0) for o in range(300)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(o,) for o in range(300)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    whole = {name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) for name in ("structural_symmetry", "merge_index_and_values", "mediumgrain_pins")}
+    monkeypatch.setattr(matrix, "ROWS", 25)
+    for m in (catalog.nz(spark, str(tmp_path)), catalog.QUERIES["merge_index_and_values"](spark, str(tmp_path)), catalog.QUERIES["mediumgrain_pins"](spark, str(tmp_path))):
+        assert m.rdd.getNumPartitions() == 13
+    assert matrix.asymmetric(catalog.sq(spark, str(tmp_path))).rdd.getNumPartitions() == 13
+    assert whole == {name: sorted(map(tuple, catalog.QUERIES[name](spark, str(tmp_path)).collect())) for name in whole}
+
+
+def test_exact_split_of_dense_blocks_is_proven(spark):
+    """The search alone gave up after its number of nodes; bounds by what must be cut prove these at once."""
+    from netloom.functions.hyper import exact_bipartition
+
+    rng = random.Random(1)
+    for density, volume in ((0.2, 12), (1.0, 14)):
+        e = [(i, j) for i in range(14) for j in range(300) if rng.random() < density]
+        cap = int(1.03 * -(-len(e) // 2))
+        owner, found, proven = exact_bipartition([i for i, _ in e], [j for _, j in e], cap)
+        assert proven and found == volume and max(owner.count(0), owner.count(1)) <= cap
+    for seed in range(40):
+        rng = random.Random(seed)
+        e = sorted({(rng.randrange(3), rng.randrange(4)) for _ in range(8)})
+        cap = int(1.1 * -(-len(e) // 2))
+        lines = [{k for k, x in enumerate(e) if x[a] == b} for a in (0, 1) for b in {x[a] for x in e}]
+        volumes = [sum(0 < len(x & line) < len(line) for line in lines) for m in range(1 << len(e)) if max(len(x := {k for k in range(len(e)) if m >> k & 1}), len(e) - len(x)) <= cap]
+        owner, found, proven = exact_bipartition([i for i, _ in e], [j for _, j in e], cap)
+        assert proven and (not owner or found == min(volumes))
