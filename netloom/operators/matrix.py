@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def to_nz(df: DataFrame, row: str, col: str, value: str | Column | None = None) -> DataFrame:
-    """Any table as a matrix: equal (row, col) are summed; without ``value`` rows are counted."""
-    what = F.count("*") if value is None else F.sum(value)
-    return df.groupBy(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j")).agg(what.cast("double").alias("re"))
+#: Rows of a table that one task sorts or holds in hash tables.
+ROWS = 250_000
+
+
+def spread(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to so many tasks; as it is without a number."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
+def to_nz(df: DataFrame, row: str, col: str, value: str | Column | None = None, *, tasks: int | None = None) -> DataFrame:
+    """Any table as a matrix: equal (row, col) are summed; without ``value`` rows are counted. With ``tasks`` it is dealt to as many by
+    (i, j), which later joins on both keep."""
+    df = df.select(F.col(row).cast("long").alias("i"), F.col(col).cast("long").alias("j"), (F.lit(1) if value is None else F.col(value) if isinstance(value, str) else value).alias("re"))
+    return spread(df, tasks, "i", "j").groupBy("i", "j").agg((F.count("*") if value is None else F.sum("re")).cast("double").alias("re"))
 
 
 def dedup_sum(nz: DataFrame) -> DataFrame:
@@ -140,17 +150,19 @@ def part_weights(nz: DataFrame, *, single_entry: bool = False, col_weight: DataF
     return real.groupBy("part").agg(F.sum(w).cast("long").alias("weight"))
 
 
-def mediumgrain_initial(nz: DataFrame, tie: str = "col") -> DataFrame:
+def mediumgrain_initial(nz: DataFrame, tie: str = "col", *, tasks: int | None = None) -> DataFrame:
     """``in_ac``: the entry goes with its column (true) or its row.
 
     First choice: the shorter line, ties by ``tie``, an entry alone in its row with its column. A line all but one of whose
-    entries went the other way then keeps that entry out of a group of one.
+    entries went the other way then keeps that entry out of a group of one. With ``tasks`` each numbering is dealt to as many.
     """
     row, col = Window.partitionBy("i"), Window.partitionBy("j")
-    d = nz.withColumns({"rows": F.count("*").over(row), "cols": F.count("*").over(col)})
+    d = spread(nz, tasks, "i").withColumn("rows", F.count("*").over(row))
+    d = spread(d, tasks, "j").withColumn("cols", F.count("*").over(col))
     longer = (F.col("rows") > F.col("cols")) | ((F.col("rows") == F.col("cols")) & F.lit(tie == "col"))
     d = d.withColumn("first", (F.col("rows") == 1) | ((F.col("cols") != 1) & longer))
-    d = d.withColumns({"with_col": F.sum(F.col("first").cast("int")).over(row), "with_row": F.sum((~F.col("first")).cast("int")).over(col)})
+    d = d.withColumn("with_row", F.sum((~F.col("first")).cast("int")).over(col))
+    d = spread(d, tasks, "i").withColumn("with_col", F.sum(F.col("first").cast("int")).over(row))
     final = ((F.col("with_row") == 1) & (F.col("cols") != 1)) | (F.col("rows") == 1) | ((F.col("cols") != 1) & (F.col("with_col") != 1) & longer)
     return d.withColumn("in_ac", final).select(*nz.columns, "in_ac")
 

@@ -41,12 +41,17 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def tasks(spark, d):
+    """Tasks for the rows of ``lineitem``, so that what one task holds doesn't grow with the table."""
+    return 1 + count_table(spark, d, "lineitem") // matrix.ROWS
+
+
 def nz(spark, d):
-    return matrix.to_nz(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_quantity")
+    return matrix.to_nz(table(spark, d, "lineitem"), "l_partkey", "l_suppkey", "l_quantity", tasks=tasks(spark, d))
 
 
 def sq(spark, d):
-    return matrix.to_nz(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
+    return matrix.to_nz(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", tasks=tasks(spark, d))
 
 
 def orders(spark, d):
@@ -381,7 +386,7 @@ MEDIUM = (
 
 @query(f"WITH {MEDIUM} SELECT i, j, in_ac FROM h")
 def mediumgrain_initial(spark, d):
-    return matrix.mediumgrain_initial(sq(spark, d), "col").select("i", "j", "in_ac")
+    return matrix.mediumgrain_initial(sq(spark, d), "col", tasks=tasks(spark, d)).select("i", "j", "in_ac")
 
 
 # Hypergraphs
@@ -412,7 +417,7 @@ def symfinegrain_pins(spark, d):
     "SELECT * FROM p UNION SELECT v, v FROM p WHERE v IN (SELECT net FROM p)"
 )
 def mediumgrain_pins(spark, d):
-    return hypergraph.medium_model(matrix.mediumgrain_initial(sq(spark, d), "col"), orders(spark, d))
+    return hypergraph.medium_model(matrix.mediumgrain_initial(sq(spark, d), "col", tasks=tasks(spark, d)), orders(spark, d), tasks=tasks(spark, d))
 
 
 GAIN = f"WITH {NZ}, p AS (SELECT i AS v, j AS n, i % 2 AS side FROM nz), s AS (SELECT n, SUM(side) AS ones, COUNT(*) AS k FROM p GROUP BY n), m AS (SELECT v, CASE WHEN side = 1 THEN ones ELSE k - ones END AS mine, k FROM p JOIN s USING (n)) "
