@@ -1,10 +1,10 @@
 """Quality rules: an isolation forest on rule statistics, with a threshold calibrated from labelled rows.
 
-Statistics are taken once from the whole texts. Trees are grown on the driver from a bounded sample of rows (those with
-the smallest hashes, about ``SAMPLE``); a row's anomaly score is ``2 ** -(mean path length / c(subsample))``.
-Labelled rows (about ``LABELLED``, smallest hashes) calibrate: of the forests on each choice of statistics, and of
-all thresholds, those are taken that catch most bad rows less good rows, losing a small share of good rows at most. So a
-statistic whose anomalies are harmless doesn't drown one whose anomalies are bad.
+Statistics are taken once from the whole texts. Each tree is grown from a subsample of its own, which is what makes an
+isolation forest: every row of the table draws its tree by a hash, and a tree takes the ``SUBSAMPLE`` rows with the smallest
+hashes. A row's anomaly score is ``2 ** -(mean path length / c(subsample))``. All labelled rows calibrate: of the forests on
+each choice of statistics, and of ``BINS`` thresholds, those are taken that catch most bad rows less good rows, losing a small
+share of good rows at most; rows are counted by bin in Spark. So a statistic whose anomalies are harmless doesn't drown one whose anomalies are bad.
 """
 
 from __future__ import annotations
@@ -14,12 +14,12 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Shared, cut, map_rows
 
-SAMPLE, LABELLED, TREES, SUBSAMPLE, SEED = 20_000, 20_000, 100, 256, 11
+TREES, SUBSAMPLE, BINS, SEED = 100, 256, 1 << 14, 11
 #: Share of labelled good rows that the threshold may lose.
 GOOD_LOST = 0.002
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\v\f\r"
@@ -97,10 +97,10 @@ class Forest:
         return 2.0 ** -(depth / max(len(self.roots), 1) / self.unit)
 
 
-def grow(x: np.ndarray, *, use: tuple[int, ...] = tuple(range(N_FEATURES)), trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED) -> Forest:
-    """An isolation forest of the features ``use`` of ``x``; random features and cuts from ``seed``."""
+def grow(subsamples: list[np.ndarray], *, use: tuple[int, ...] = tuple(range(N_FEATURES)), seed: int = SEED) -> Forest:
+    """An isolation forest of the features ``use``, one tree a subsample; random features and cuts from ``seed``."""
     rng, nodes, roots = np.random.default_rng(seed), [], []
-    size = min(subsample, len(x))
+    size = max(map(len, subsamples), default=0)
     limit = int(np.ceil(np.log2(max(size, 2))))
 
     def build(rows: np.ndarray, depth: int) -> int:
@@ -115,38 +115,46 @@ def grow(x: np.ndarray, *, use: tuple[int, ...] = tuple(range(N_FEATURES)), tree
             nodes[me] = [f, at, build(rows[side], depth + 1), build(rows[~side], depth + 1), 0.0]
         return me
 
-    for _ in range(trees if size else 0):
-        roots.append(build(x[rng.choice(len(x), size, replace=False)], 0))
+    for x in subsamples:
+        roots.append(build(x, 0))
     a = np.array(nodes, np.float64).reshape(-1, 5)
     return Forest(a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4], np.array(roots, int), max(c_factor(size), 1.0))
 
 
-def calibrate(score: np.ndarray, bad: np.ndarray, good_lost: float = GOOD_LOST) -> tuple[float, float]:
-    """The threshold with the most bad rows over it less good rows over it (as shares), losing at most ``good_lost`` of the good, and that gain."""
-    if not bad.any() or bad.all():
+def calibrate(good: np.ndarray, bad: np.ndarray, good_lost: float = GOOD_LOST) -> tuple[float, float]:
+    """Of counts of good and bad rows by bin of the score: the threshold with the most bad rows over it less good rows over it (as
+    shares), losing at most ``good_lost`` of the good, and that gain."""
+    if not bad.sum() or not good.sum():
         return np.inf, 0.0
-    order = np.argsort(-score, kind="stable")
-    s, b = score[order], bad[order]
-    caught, lost = np.cumsum(b) / b.sum(), np.cumsum(~b) / (~b).sum()
-    last = np.r_[s[1:] != s[:-1], True]  # whole groups of equal scores
-    fine = np.flatnonzero(last & (lost <= good_lost))
-    if not len(fine):
-        return np.inf, 0.0
-    best = int(fine[np.argmax((caught - lost)[fine])])
-    return float((s[best] + s[best + 1]) / 2) if best + 1 < len(s) else float(s[best]) - 1e-9, float((caught - lost)[best])
-
-
-def fit(x: np.ndarray, marked: np.ndarray, bad: np.ndarray) -> Forest:
-    """The forest and threshold that the labelled rows choose; without labels of both kinds all features and no threshold."""
-    best = grow(x)
-    if not len(x) or not bad.any() or bad.all():
-        return best
-    for size in range(N_FEATURES, 0, -1):
-        for use in combinations(range(N_FEATURES), size):
-            forest = grow(x, use=use)
-            forest.threshold, forest.gain = calibrate(forest.score(marked), bad)
-            if forest.gain > best.gain:
-                best = forest
+    caught, lost = np.cumsum(bad[::-1])[::-1] / bad.sum(), np.cumsum(good[::-1])[::-1] / good.sum()
+    gain = np.where(lost <= good_lost, caught - lost, -np.inf)
+    best = int(np.flatnonzero(gain == gain.max())[-1])
+    return (float(np.nextafter(best / BINS, 0)), float(gain[best])) if np.isfinite(gain[best]) else (np.inf, 0.0)
+
+
+def choices(subsamples: list[np.ndarray]) -> list[Forest]:
+    """The forests on each choice of statistics, all of them first."""
+    return [grow(subsamples, use=use) for size in range(N_FEATURES, 0, -1) for use in combinations(range(N_FEATURES), size)]
+
+
+def chosen(forests: list[Forest], marked: DataFrame) -> Forest:
+    """The forest and threshold that all of ``marked`` (statistics and ``bad``) choose; without labels of both kinds the first and no threshold."""
+    sent = Shared(marked.sparkSession, forests)
+
+    @F.pandas_udf("array<int>")
+    def bins(n_words: pd.Series, word_chars: pd.Series, n_symbols: pd.Series, n_dup_lines: pd.Series, n_repeat_words: pd.Series, n_lines: pd.Series) -> pd.Series:
+        x = features(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines)
+        return pd.Series(list(np.column_stack([np.minimum(f.score(x) * BINS, BINS - 1).astype(np.int32) for f in sent.value])))
+
+    found = marked.select("bad", F.posexplode(bins(*NUMBERS)).alias("forest", "bin")).groupBy("forest", "bin", "bad").agg(F.count("*").alias("k"))
+    counts = np.zeros((len(forests), BINS, 2))
+    for r in found.toLocalIterator():  # at most a count for each forest, bin and kind
+        counts[r["forest"], r["bin"], r["bad"]] += r["k"]
+    best = forests[0]
+    for forest, n in zip(forests, counts, strict=True):
+        forest.threshold, forest.gain = calibrate(n[:, 0], n[:, 1])
+        if forest is best or forest.gain > best.gain:
+            best = forest
     return best
 
 
@@ -161,12 +169,24 @@ def rule_statistics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 NUMBERS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 
 
-def first_rows(df: DataFrame, n: int) -> np.ndarray:
-    """About ``n`` rows as an array, those whose hash is under a threshold made from the number of rows: a bounded sample, drawn in place."""
-    count = df.count()
-    draw = F.pmod(F.xxhash64("doc_id", *NUMBERS), F.lit(1 << 40))
-    rows = df.where(draw < F.lit(int(min(1.0, n / max(count, 1)) * (1 << 40)))).select(draw.alias("draw"), *NUMBERS, *[c for c in df.columns if c == "bad"]).collect()
-    return np.array([tuple(map(float, r[1:])) for r in sorted(rows)]) if rows else np.empty((0, len(NUMBERS) + ("bad" in df.columns)))
+def subsamples(sound: DataFrame) -> list[np.ndarray]:
+    """The features of each tree's rows: of those that hashes deal to the tree, the ``SUBSAMPLE`` with the smallest hashes.
+
+    A row is dealt to one tree, in a table too small for that to as many as give each tree twice its rows (all, if need be).
+    """
+    times = max(1, min(TREES, -(-2 * TREES * SUBSAMPLE // max(1, sound.count()))))
+    dealt = sound.select(F.xxhash64("doc_id", *NUMBERS, F.lit(SEED)).alias("h"), *NUMBERS).select("h", *NUMBERS, F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("k"))
+    dealt = dealt.select(F.pmod(F.pmod("h", F.lit(TREES)) + F.col("k"), F.lit(TREES)).cast("int").alias("tree"), F.shiftrightunsigned(F.xxhash64("h", "k"), 8).alias("draw"), *NUMBERS)
+    # A tree's smallest hashes lie under twice its share, so few rows are sorted.
+    share = dealt.groupBy("tree").agg(F.count("*").alias("rows"))
+    under = F.when(F.col("rows") <= 4 * SUBSAMPLE, F.lit(1 << 56)).otherwise(F.floor(2.0 * SUBSAMPLE / F.col("rows") * (1 << 56)))
+    few = dealt.join(F.broadcast(share), "tree").where(F.col("draw") < under)
+    rank = F.row_number().over(Window.partitionBy("tree").orderBy("draw", *NUMBERS))
+    rows = few.withColumn("rank", rank).where(F.col("rank") <= SUBSAMPLE).select("tree", "draw", *NUMBERS).collect()
+    found: dict[int, list] = {}
+    for r in sorted(rows):
+        found.setdefault(r[0], []).append(tuple(map(float, r[2:])))
+    return [features(*np.array(x).T) for _, x in sorted(found.items())]
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,11 +199,8 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     stats = cut(rule_statistics(docs, id_col=id_col, text_col=text_col))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     sound = stats.where(~failed)
-    sample = first_rows(sound, SAMPLE)
     known = labels.where("quality IS NOT NULL").groupBy("doc_id").agg((F.min("quality") == 0).cast("int").alias("bad"))
-    marked = first_rows(sound.join(known, "doc_id"), LABELLED)
-    empty = np.empty((0, N_FEATURES))
-    forest = fit(features(*sample.T) if len(sample) else empty, features(*marked[:, :-1].T) if len(marked) else empty, marked[:, -1] == 1 if len(marked) else np.empty(0, bool))
+    forest = chosen(choices(subsamples(sound)), sound.join(known, "doc_id"))
     sent = Shared(stats.sparkSession, forest)  # at most TREES * 2 * SUBSAMPLE nodes
 
     @F.pandas_udf("double")
