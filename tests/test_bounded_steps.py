@@ -46,6 +46,52 @@ def test_matching_writes_edges_twice_at_most(spark, monkeypatch):
     assert sum(written) <= 2 * len(edges)
 
 
+def test_matching_query_writes_lists_not_edges(spark, monkeypatch, tmp_path):
+    """200 columns that all meet in one row or another have 19,900 edges; a list a column is written."""
+    from netloom.plans import level_queries
+
+    rng = random.Random(8)
+    items = [(p, s, 1, 1.0) for p in range(40) for s in rng.sample(range(200), 60)]
+    spark.createDataFrame(items, "l_partkey long, l_suppkey long, l_orderkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    nz = spark.createDataFrame([r[:2] for r in items], "n long, v long")
+    edges = hypergraph.similarity(nz, "min").collect()
+    expected = {tuple(r) for r in matching.dominant_matching(spark.createDataFrame(edges)).collect()}
+    cut, written = matching.cut, []
+
+    def counting(df):
+        out = cut(df)
+        if "ip" in out.columns or "rank" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(matching, "cut", counting)
+    got = {tuple(r) for r in level_queries.dominant_matching(spark, str(tmp_path)).collect()}
+    assert got == expected and len(edges) > 15_000 and sum(written) <= 2 * 16 * 200
+
+
+def test_lists_that_are_used_up_are_filled_again(spark, monkeypatch):
+    """Lists of two edges: complete graphs, a star whose leaves are left alone, equal scores along a path."""
+    monkeypatch.setattr(matching, "LISTED", 2)
+    rng = random.Random(9)
+    dense = [(a, b, rng.randint(1, 4) / 3) for a, b in combinations(range(40), 2)]
+    star = [(100, 100 + k, 0.5) for k in range(1, 30)]
+    path = [(k, k + 1, 1.0) for k in range(200, 260)]
+    popular = [(a, b, 1000.0 - a - b) for a, b in combinations(range(300, 330), 2)]
+    edges = spark.createDataFrame(dense + star + path + popular, "v long, w long, ip double")
+    both = edges.union(edges.select("w", "v", "ip"))
+    calls = []
+
+    def among(live):
+        calls.append(live)
+        if live is None:
+            return both
+        return both.join(live, "v", "left_semi").join(live.withColumnRenamed("v", "w"), "w", "left_semi").select("v", "w", "ip")
+
+    got = {tuple(r) for r in matching.listed_matching(among).collect()}
+    assert got == {tuple(r) for r in matching.dominant_matching(edges).collect()} and len(calls) > 1
+    assert matching.listed_matching(lambda live: both.limit(0)).count() == 0
+
+
 def test_connected_components_read_all_of_sq(spark, tmp_path):
     """Orders tied by a part alone, not by a customer, are one component; a chain takes several rounds."""
     from netloom.plans import catalog
