@@ -53,3 +53,20 @@ def test_near_pairs_of_long_lines_need_no_full_distances(spark):
     assert share[0] == 0 and max(share) <= 0.2, share
     short = df.where("k > 4").select((lines.edits_at_most("p", "q") - F.levenshtein("p", "q")).alias("over")).collect()
     assert len(short) == 150 and all(r["over"] >= 0 for r in short)
+
+
+def test_bound_of_long_lines_of_few_words(spark):
+    """Lines of 200 different words of which a passage is missing, and one that repeats itself: the bound stays close to the distance."""
+    rng = random.Random(31)
+    some = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(200)]
+    a = rng.choices(some, k=2500)
+    b = a[:900] + a[1150:]
+    for _ in range(40):
+        b[rng.randrange(len(b))] = rng.choice(some)
+    c = ["aterth"] * 1200 + rng.choices(some, k=200) + ["aterth"] * 300
+    d = c[60:700] + ["atrth"] + c[701:]
+    pairs = [(" ".join(x), " ".join(y)) for x, y in ((a, b), (c, d))]
+    df = spark.createDataFrame([(*x, max(map(len, x)) // 5) for x in pairs], "p string, q string, most int")
+    bound = F.least(lines.edits_at_most("p", "q", "most"), lines.edits_at_most("q", "p", "most"))
+    for r in df.select(bound.alias("bound"), F.levenshtein("p", "q").alias("edits"), "most").collect():
+        assert r["edits"] <= r["bound"] <= r["most"] and r["bound"] <= 1.35 * r["edits"], r
