@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.checkpoints import cut
 from ..functions.hyper import build, multilevel, refine, subset_sum, upper_bound_parts
-from ..operators import bids, hypergraph, line_parts, matching, metrics, neighbours, refinement
+from ..operators import bids, hypergraph, line_parts, matching, metrics, neighbours, ordinal, refinement
 from ..operators.vectors import fill_unowned, reduced, unique_owners
 from .options import Options
 
@@ -291,13 +291,16 @@ def partition(nz: DataFrame, p: int, eps: float = 0.03, options: Options | None
 
 
 def _large_model(nz: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """(entries with their vertex ``of``, ``pin(v, n)``) of :func:`_model`, as DataFrames; an entry's vertex is a hash of its place
+    """(entries with their vertex ``of``, ``pin(v, n)``) of :func:`_model`, as DataFrames; an entry's vertex is the place in order
     where it has one of its own."""
     row, col = 2 * F.col("i"), 2 * F.col("j") + 1
     if kind in ("finegrain", "symfinegrain"):
         low, high = (F.least("i", "j"), F.greatest("i", "j")) if kind == "symfinegrain" else (F.col("i"), F.col("j"))
         nets = (low, high) if kind == "symfinegrain" else (row, col)
-        at = cut(nz.select("i", "j", F.xxhash64(low, high).alias("of"), F.array(*nets).alias("nets")))
+        # Vertices are numbered in order, as hashes would leave no room for degrees beside them.
+        names = ordinal.placed(nz.select(low.alias("low"), high.alias("high")).distinct(), "low", "high", name="of")
+        at = nz.withColumns({"low": low, "high": high}).join(names, ["low", "high"])
+        at = cut(at.select("i", "j", "of", F.array(*nets).alias("nets")))
         return at.drop("nets"), at.select(F.col("of").alias("v"), F.explode("nets").alias("n")).distinct()
     if kind in ("onedimrow", "onedimcol"):
         at = nz.select("i", "j", (row if kind == "onedimrow" else col).alias("of"), (col if kind == "onedimrow" else row).alias("n"))
